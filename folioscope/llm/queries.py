@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import mixing, simhash, urls, warc
+from folioscope.llm import minhash, mixing, rules, simhash, urls, warc
 from folioscope.llm.common import table
 
 
@@ -21,11 +21,29 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        minhash.packed(F.col("signature")).alias("fingerprint"),
+        minhash.packed(F.col("edited_signature")).alias("edited_fingerprint"),
+        minhash.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
+        minhash.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, bits=4, seeds=(42,), blocks=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -33,6 +51,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_warc_revisits": op4_warc_revisits,
+    "op5_minhash_fingerprints": op5_minhash_fingerprints,
     "op8_simhash_anchors": op8_simhash_anchors,
+    "op9_quality_rules": op9_quality_rules,
     "op10_url_rules": op10_url_rules,
 }
