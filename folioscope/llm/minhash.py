@@ -2,7 +2,8 @@
 
 The 64-bit hashes of a text's shingles of `SHINGLE` words are dealt to 256 bins by their top byte in one pass; a bin keeps
 its smallest. An empty bin takes the value of the first filled bin in a probe order of its own, (a * step + start) mod 257:
-optimal densification, with a 2-universal probe order that visits all bins. Stored are the low 8 bits of each bin. Two
+optimal densification, with a 2-universal probe order that visits all bins. Stored are the low 8 bits of each bin; a taken
+value is hashed with its bin first, so that the bins of a text of few shingles don't all agree by one chance. Two
 fingerprints agree by chance in a bin with probability 1/256; likeness() takes that out.
 
 A text with fewer words has one shingle, its whole sequence; one without words has an empty fingerprint, which is like
@@ -72,7 +73,7 @@ def with_signature(df: DataFrame, text: str, out: str) -> DataFrame:
 
     low = lambda x: (x.bitwiseAND(F.lit(255)) - 128).cast("tinyint")
     df = df.withColumns({"__step": step, "__start": start, "__inverse": inverse})
-    dense = F.when(m == BINS, F.transform(bins, low)).when(m <= FEW, F.transform(bins, lambda x, j: low(F.when(empty(x), ranked(j)).otherwise(x)))).otherwise(F.transform(bins, lambda x, j: low(F.when(empty(x), probed(j)).otherwise(x))))
+    dense = F.when(m == BINS, F.transform(bins, low)).when(m <= FEW, F.transform(bins, lambda x, j: low(F.when(empty(x), F.xxhash64(ranked(j), j)).otherwise(x)))).otherwise(F.transform(bins, lambda x, j: low(F.when(empty(x), F.xxhash64(probed(j), j)).otherwise(x))))
     return df.select(*kept, F.when(F.col(n) == 0, F.array().cast("array<tinyint>")).otherwise(dense).alias(out))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import minhash, mixing, rules, simhash, urls, warc
+from folioscope.llm import minhash, mixing, packing, pii, rules, simhash, urls, warc
 from folioscope.llm.common import table
 
 
@@ -34,6 +34,14 @@ def op5_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), counts="found")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(packing.sized(table(spark, sf_dir, "documents").select("doc_id", "text", "source")))
+
+
 def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, bits=4, seeds=(42,), blocks=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,6 +60,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
+    "op6_feistel_pseudonyms": op6_feistel_pseudonyms,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_simhash_anchors": op8_simhash_anchors,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_rules": op10_url_rules,
