@@ -65,13 +65,12 @@ def fences(rates: DataFrame) -> DataFrame:
     of_group = rates.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"kll_sketch_agg_double({m}, {SKETCH_K})").alias(m) for m in MEASURES))
     of_group = staged(of_group, "sketches")
     of_lang = merged(["lang"], of_group).select(F.col("lang").alias("lang_"), F.struct("n", *MEASURES).alias("l"))
-    of_all = merged([], of_group).select(F.struct("n", *MEASURES).alias("a"))
-    # Languages and sources, and one row: their sketches are of bounded size.
-    rows = of_group.select("lang", "source", F.struct("n", *MEASURES).alias("g")).join(of_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left").withColumn("one", F.lit(1))
-    rows = rows.join(of_all.withColumn("one", F.lit(1)), "one")
+    # One row of sketches of bounded size, so it may pass through the driver.
+    of_all = merged([], of_group).first()
+    rows = of_group.select("lang", "source", F.struct("n", *MEASURES).alias("g")).join(of_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left")
     out: list[Column] = []
     for m, (slack, both) in MEASURES.items():
-        sketch = F.when(F.col("g.n") >= LEAST, F.col(f"g.{m}")).when(F.col("l.n") >= LEAST, F.col(f"l.{m}")).otherwise(F.col(f"a.{m}"))
+        sketch = F.when(F.col("g.n") >= LEAST, F.col(f"g.{m}")).when(F.col("l.n") >= LEAST, F.col(f"l.{m}")).otherwise(F.lit(of_all[m]))
         low, high = (F.call_function("kll_sketch_get_quantile_double", sketch, F.lit(q)) for q in (0.25, 0.75))
         out.append((high + FENCE * (high - low) + slack).alias(f"high_{m}"))
         out.append((low - FENCE * (high - low) - slack if both else F.lit(float("-inf"))).alias(f"low_{m}"))
