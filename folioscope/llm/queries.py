@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import mil, minhash, mixing, packing, pii, rules, simhash, urls, warc
+from folioscope.llm import mil, minhash, mixing, packing, pii, rules, simhash, substring, urls, warc
 from folioscope.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__copies") * F.col("__size")).cast("long").alias("taken"))
 
 
+def op2_collinear_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = mil.scored(docs, mil.trained(docs, table(spark, sf_dir, "labels")))
@@ -64,6 +68,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_collinear_chains": op2_collinear_chains,
     "op3_mil_quality": op3_mil_quality,
     "op4_warc_revisits": op4_warc_revisits,
     "op5_minhash_fingerprints": op5_minhash_fingerprints,
