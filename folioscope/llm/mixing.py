@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD, checked_broadcast
+from folioscope.llm.common import WORD, checked_broadcast, own_prefix
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
 
@@ -46,17 +46,19 @@ def draw(key: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), key).cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def copies(docs: DataFrame, size: Column | None = None, seed: str = SEED, **how) -> DataFrame:
-    """docs with __size, __source_size, __target and __copies, the times that the mix takes the document."""
-    sized = docs.withColumn("__size", words(F.col("text")) if size is None else size)
-    of = targets(sized.select(F.col("source").cast("string").alias("source"), F.col("__size").alias("size")), **how)
-    of = of.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    joined = sized.join(checked_broadcast(of), F.col("source").cast("string").eqNullSafe(F.col("__source")), "left").drop("__source")
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
+def copies(docs: DataFrame, size: Column | None = None, seed: str = SEED, prefix: str = "__", **how) -> DataFrame:
+    """docs with <prefix>size, source_size, target and copies, the times that the mix takes the document."""
+    p_size, p_source, p_total, p_target = (prefix + x for x in ("size", "source", "source_size", "target"))
+    sized = docs.withColumn(p_size, words(F.col("text")) if size is None else size)
+    of = targets(sized.select(F.col("source").cast("string").alias("source"), F.col(p_size).alias("size")), **how)
+    of = of.select(F.col("source").alias(p_source), F.col("source_size").alias(p_total), F.col("target").alias(p_target))
+    joined = sized.join(checked_broadcast(of), F.col("source").cast("string").eqNullSafe(F.col(p_source)), "left").drop(p_source)
+    rate = F.when(F.col(p_total) > 0, F.col(p_target) / F.col(p_total)).otherwise(F.lit(0.0))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
-    return joined.withColumn("__copies", (F.floor(rate) + (draw(key, seed) < rate - F.floor(rate)).cast("long")).cast("int"))
+    return joined.withColumn(prefix + "copies", (F.floor(rate) + (draw(key, seed) < rate - F.floor(rate)).cast("long")).cast("int"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix: docs, each row as many times as copies() says."""
-    return copies(docs, **how).withColumn("__copy", F.explode(F.expr("array_repeat(0, __copies)"))).select(*docs.columns)
+    p = own_prefix(docs)
+    return copies(docs, prefix=p, **how).withColumn(p + "copy", F.explode(F.array_repeat(F.lit(0), F.col(p + "copies")))).select(*docs.columns)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import connected_components, staged, word_blocks
+from folioscope.llm.common import connected_components, own_prefix, staged, word_blocks
 
 #: Shingle hashes whose bits are counted at once: 64 bytes each.
 BITS_AT_ONCE = 1 << 16
@@ -255,7 +255,7 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
 
     A row without a doc_id counts as one with a large number from its text, so it stays if it is alone.
     """
-    key, rank = "__fs_key", "__fs_rank"
+    key, rank = (own_prefix(docs) + x for x in ("key", "rank"))
     own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))))
     keep = components(own.select(F.col(key).alias("doc_id"), "text"), **how).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     ranked = own.join(keep, key).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy("text")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checked_broadcast
+from folioscope.llm.common import checked_broadcast, own_prefix
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHORT = 8
@@ -59,6 +59,7 @@ def judged(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFA
     """pages with host, path, rule and verdict; columns of these names are replaced."""
     rules = rules if rules is not None else pages.sparkSession.createDataFrame(list(RULES), "verdict string, host string, path string")
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    found = matches(pages.select("url").distinct(), rules).select(F.col("url").alias("__fs_url"), F.col("rule").alias("__fs_rule"), F.col("verdict").alias("__fs_verdict"))
-    joined = pages.select(*own).join(found, F.col("url") == F.col("__fs_url"), "left")
-    return joined.select(*own, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("__fs_rule").alias("rule"), F.coalesce("__fs_verdict", F.lit(default)).alias("verdict"))
+    p = own_prefix(pages)
+    found = matches(pages.select("url").distinct(), rules).select(F.col("url").alias(p + "url"), F.col("rule").alias(p + "rule"), F.col("verdict").alias(p + "verdict"))
+    joined = pages.select(*own).join(found, F.col("url") == F.col(p + "url"), "left")
+    return joined.select(*own, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col(p + "rule").alias("rule"), F.coalesce(p + "verdict", F.lit(default)).alias("verdict"))
