@@ -55,7 +55,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `rows` rows, which are counted; else as it is, so that the join shuffles."""
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def own_prefix(df: DataFrame) -> str:
