@@ -55,8 +55,10 @@ def without_marks(s: Column) -> Column:
     # Ligatures, fractions and the like are rare: only texts that hold one take the long way.
     rare = F.split(F.lit("\n".join(c + flat for c, flat in several)), "\n")
     spelled = lambda x: F.aggregate(rare, x, lambda a, r: F.replace(a, F.substring(r, 1, 1), F.substring(r, 2, 40)))
+    # All of them lie in these ranges, which are quick to test; the class of a thousand characters is not.
     some = "[" + "".join(c for c, _ in several) + "]"
-    flat = let(F.translate(s, one, base), lambda x: F.when(x.rlike(some), spelled(x)).otherwise(x))
+    maybe = r"[\x{BC}-\x{BE}\x{0100}-\x{FFFF}]"
+    flat = let(F.translate(s, one, base), lambda x: F.when(x.rlike(maybe) & x.rlike(some), spelled(x)).otherwise(x))
     return F.regexp_replace(flat, r"\p{M}+", "")
 
 

@@ -104,7 +104,8 @@ def tokenise_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = adapt.token_lines(table(spark, sf_dir, "documents").filter("lang = 'en'"))
     runs = lines.filter("page_number = 1").select("document_id", "page_number", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.col("line").alias("item_index"), F.array_join("tokens", " ").alias("str"), F.lit(500.0).alias("width"), F.lit(10.0).alias("height"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(50.0), (700 - F.col("line") * 20).cast("double")).alias("transform"))
     w = layout.run_words(runs)
-    return w.select("document_id", "page_number", "item_index", "token_index", "text", *(F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")))
+    # A billionth more: sums in another order must not fall on the other side of a tie.
+    return w.select("document_id", "page_number", "item_index", "token_index", "text", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("x", "y", "width", "height")))
 
 
 @query(sql.GLYPH_PREFIX)

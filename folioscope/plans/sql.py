@@ -109,8 +109,8 @@ chars AS (SELECT document_id, page_number, line, i, text, unnest(string_split(te
 wide AS (SELECT document_id, page_number, line, i, text, sum({width('c')}) AS w FROM chars GROUP BY ALL),
 runs AS (SELECT *, sum(w) OVER l + 0.32::DOUBLE * i - w AS a, sum(w) OVER l + 0.32::DOUBLE * i AS b, sum(w) OVER (PARTITION BY document_id, page_number, line) + 0.32::DOUBLE * max(i) OVER (PARTITION BY document_id, page_number, line) AS total
   FROM wide WINDOW l AS (PARTITION BY document_id, page_number, line ORDER BY i))
-SELECT document_id, page_number, line AS item_index, i AS token_index, text, round((50 + 500 * a / total) / 600, 6) AS x, round(1 - (700 - line * 20 + 10)::DOUBLE / 800, 6) AS y,
-  round(500 * (b - a) / total / 600, 6) AS width, round(10::DOUBLE / 800, 6) AS height FROM runs"""
+SELECT document_id, page_number, line AS item_index, i AS token_index, text, round((50 + 500 * a / total) / 600 + 1e-9::DOUBLE, 6) AS x, round(1 - (700 - line * 20 + 10)::DOUBLE / 800 + 1e-9::DOUBLE, 6) AS y,
+  round(500 * (b - a) / total / 600 + 1e-9::DOUBLE, 6) AS width, round(10::DOUBLE / 800 + 1e-9::DOUBLE, 6) AS height FROM runs"""
 GLYPH_PREFIX = f"""WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c, unnest(range(length(p_name))) AS k FROM part), w AS (SELECT p_partkey, k, {width('c')} AS w FROM c)
 SELECT p_partkey, round(sum(w), 6) AS width, round(sum(w) FILTER (k < 3), 6) AS first_three, round(sum(w) FILTER (k < 2) / 2, 6) AS gap FROM w GROUP BY p_partkey"""
 LINE_TEXT = f"WITH {words()} SELECT document_id, page_number, line, string_agg(text, ' ' ORDER BY x, i) AS text FROM words GROUP BY ALL"
