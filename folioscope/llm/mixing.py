@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD, checked_broadcast, own_prefix
+from folioscope.llm.common import WORD, checked_broadcast, own_prefix, staged
 
 WEIGHTS, SHARE, MOST, SEED = (3, 1, 2), 1.5, 2.0, "mix-1"
 
@@ -52,7 +52,7 @@ def copies(docs: DataFrame, size: Column | None = None, seed: str = SEED, prefix
     sized = docs.withColumn(p_size, words(F.col("text")) if size is None else size)
     of = targets(sized.select(F.col("source").cast("string").alias("source"), F.col(p_size).alias("size")), **how)
     of = of.select(F.col("source").alias(p_source), F.col("source_size").alias(p_total), F.col("target").alias(p_target))
-    joined = sized.join(checked_broadcast(of), F.col("source").cast("string").eqNullSafe(F.col(p_source)), "left").drop(p_source)
+    joined = sized.join(checked_broadcast(staged(of, "targets")), F.col("source").cast("string").eqNullSafe(F.col(p_source)), "left").drop(p_source)
     rate = F.when(F.col(p_total) > 0, F.col(p_target) / F.col(p_total)).otherwise(F.lit(0.0))
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     return joined.withColumn(prefix + "copies", (F.floor(rate) + (draw(key, seed) < rate - F.floor(rate)).cast("long")).cast("int"))

@@ -47,7 +47,7 @@ def resolved(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     heads = heads.agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri"))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
     # Short payloads can't match, and their keys spread them.
     key = F.when(F.col("bytes") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("short "), F.xxhash64("page_id", "uri").cast("string")))
-    joined = own.withColumn("key", key).join(checked_broadcast(heads), "key", "left").drop("key")
+    joined = own.withColumn("key", key).join(checked_broadcast(staged(heads, "repeated")), "key", "left").drop("key")
     return joined.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first")))
 
 
