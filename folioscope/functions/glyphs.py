@@ -7,15 +7,19 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Width: its characters.
-WIDTHS = {
-    0.27: "'", 0.28: "ijlı", 0.29: "IJİ", 0.32: " .,", 0.34: ";:/\\", 0.35: "f", 0.36: "!-", 0.39: "t()[]", 0.40: "{}", 0.41: "r",
-    0.42: '"', 0.50: "`", 0.52: "szş?", 0.55: "cç", 0.56: "L", 0.58: "kF", 0.59: "vxy", 0.60: "P", 0.61: "aeoəöTYZ", 0.63: "hnuüEƏ",
-    0.64: "bdgpqğ#", 0.65: "SŞ", 0.67: "K", 0.68: "AVX", 0.69: "B", 0.70: "CRÇ", 0.73: "UÜ&", 0.75: "HN", 0.77: "D", 0.78: "GĞ",
-    0.79: "OQÖ", 0.82: "w", 0.86: "M", 0.97: "m", 0.98: "%", 0.99: "W", 1.00: "@",
+# Characters and their widths.
+WIDTH_OF = {
+    " ": 0.32, "a": 0.61, "b": 0.64, "c": 0.55, "d": 0.64, "e": 0.61, "f": 0.35, "g": 0.64, "h": 0.63, "i": 0.28, "j": 0.28, "k": 0.58, "l": 0.28,
+    "m": 0.97, "n": 0.63, "o": 0.61, "p": 0.64, "q": 0.64, "r": 0.41, "s": 0.52, "t": 0.39, "u": 0.63, "v": 0.59, "w": 0.82, "x": 0.59, "y": 0.59, "z": 0.52,
+    "A": 0.68, "B": 0.69, "C": 0.70, "D": 0.77, "E": 0.63, "F": 0.58, "G": 0.78, "H": 0.75, "I": 0.29, "J": 0.29, "K": 0.67, "L": 0.56, "M": 0.86,
+    "N": 0.75, "O": 0.79, "P": 0.60, "Q": 0.79, "R": 0.70, "S": 0.65, "T": 0.61, "U": 0.73, "V": 0.68, "W": 0.99, "X": 0.68, "Y": 0.61, "Z": 0.61,
+    "ə": 0.61, "Ə": 0.63, "ı": 0.28, "İ": 0.29, "ğ": 0.64, "Ğ": 0.78, "ş": 0.52, "Ş": 0.65, "ç": 0.55, "Ç": 0.70, "ö": 0.61, "Ö": 0.79, "ü": 0.63, "Ü": 0.73,
+    ".": 0.32, ",": 0.32, ";": 0.34, ":": 0.34, "!": 0.36, "?": 0.52, "'": 0.27, '"': 0.42, "`": 0.50, "-": 0.36, "(": 0.39, ")": 0.39, "[": 0.39, "]": 0.39,
+    "{": 0.40, "}": 0.40, "/": 0.34, "\\": 0.34, "@": 1.00, "%": 0.98, "#": 0.64, "&": 0.73,
 }
 DIGIT, CAPITAL, OTHER = 0.64, 0.70, 0.61
-WIDTH_OF = {c: w for w, cs in WIDTHS.items() for c in cs}
+#: The characters of each width.
+WIDTHS = {w: "".join(c for c, x in WIDTH_OF.items() if x == w) for w in sorted(set(WIDTH_OF.values()))}
 
 
 def glyph_width(c: Column) -> Column:
