@@ -16,6 +16,8 @@ come first; repeated ids are ordered by text, and a single document is its own n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,19 +109,22 @@ def _range_of(docs: DataFrame, order: str) -> Column:
     return inner
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """docs (doc_id, text, ...) with next_<c> of the next document for each carried column."""
+def with_next(docs: DataFrame, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """prepare(docs) (doc_id, text, ...) with next_<c> of the next document for each carried column.
+
+    prepare adds columns row by row; it sees each document once, and those that close a range once more.
+    """
     order, part, real = "__order", "__range", "__real"
     docs = docs.withColumn(order, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     docs = docs.withColumn(part, _range_of(docs.select(order), order))
     least = docs.groupBy(part).agg(F.min(order).alias("__least"))
     # One document a range, so 4096 at most; then each range gets that of the range after it.
     heads = docs.join(F.broadcast(least.withColumnRenamed(part, "__of")), (F.col(part) == F.col("__of")) & (F.col(order) == F.col("__least")))
-    heads = heads.groupBy(part).agg(*(F.min_by(c, "text").alias(c) for c in carried))
+    heads = heads.groupBy(part).agg(F.min("text").alias("text"))
     along = Window.orderBy(part)
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = heads.select(F.col(part), *(F.coalesce(F.lead(c).over(along), F.first(c).over(whole)).alias(c) for c in carried))
-    rows = docs.withColumn(real, F.lit(1)).unionByName(ends.withColumn(real, F.lit(0)), allowMissingColumns=True)
+    ends = heads.select(F.col(part), F.coalesce(F.lead("text").over(along), F.first("text").over(whole)).alias("text"))
+    rows = prepare(docs.withColumn(real, F.lit(1)).unionByName(ends.withColumn(real, F.lit(0)), allowMissingColumns=True))
     inside = Window.partitionBy(part).orderBy(F.col(real).desc(), order, "text")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(inside) for c in carried})
     return rows.filter(F.col(real) == 1).drop(order, part, real)
@@ -128,7 +133,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """doc_id, text, signature, edited (text), edited_signature, next_signature."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_signature(own, "text", "signature"), ["text", "signature"])
+    rows = with_next(own, ["text", "signature"], lambda df: with_signature(df, "text", "signature"))
     half = F.floor(F.length("text") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))).drop("next_text")
     return with_signature(rows, "edited", "edited_signature")
