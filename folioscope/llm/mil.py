@@ -37,11 +37,17 @@ SHAPES = 10
 FEATURES = SHAPES + HASHED + 4
 
 
+#: The signs of 12 bits.
+_SIGNS = (np.arange(4096)[:, None] >> np.arange(12) & 1).astype(np.float32) * 2 - 1
+_STOPS, _SYMBOLS = ".,;:!?", "#*$%&|<>=+^~@\\/_{}[]"
+
+
 class Words(dict):
-    """word -> row of its encoding in self.rows."""
+    """word -> row of its encoding in self.rows; row 0 is zero, for no word."""
 
     def __init__(self) -> None:
         self.rows = np.zeros((1024, SHAPES + HASHED), np.float32)
+        self[b""] = 0
 
     def __missing__(self, word: bytes) -> int:
         i = self[word] = len(self)
@@ -49,34 +55,39 @@ class Words(dict):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
         row = self.rows[i]
         text = word.decode("utf-8", "replace")
-        n = len(text)
-        upper, digits, letters = sum(map(str.isupper, text)), sum(map(str.isdigit, text)), sum(map(str.isalpha, text))
-        symbols = sum(c in "#*$%&|<>=+^~@\\/_{}[]" for c in text)
-        stops = sum(c in ".,;:!?" for c in text)
+        n, core = len(text), text.rstrip(_STOPS)
+        if core.isalpha():  # most words: letters, perhaps with stops behind them
+            letters, digits, symbols = len(core), 0, 0
+            stops, upper = n - letters, 0 if core.islower() else sum(map(str.isupper, core))
+        else:
+            upper, digits, letters = sum(map(str.isupper, text)), sum(map(str.isdigit, text)), sum(map(str.isalpha, text))
+            symbols, stops = sum(c in _SYMBOLS for c in text), sum(c in _STOPS for c in text)
         row[:SHAPES] = min(n, 24) / 8, upper / n, digits / n, symbols / n, stops / n, (n - letters - digits - symbols - stops) / n, letters == 0, upper == letters > 1, text[-1] in "!?", n > 24
         bits = xxhash.xxh64_intdigest(text.strip(".,;:!?#*$%&|<>").lower(), 7)
-        row[SHAPES:] = [1.0 if bits >> j & 1 else -1.0 for j in range(HASHED)]
+        row[SHAPES : SHAPES + 12], row[SHAPES + 12 :] = _SIGNS[bits & 4095], _SIGNS[bits >> 12 & 4095]
         return i
 
     def ready(self) -> None:
         if len(self) > CACHE:
             self.clear()
+            self[b""] = 0
 
 
 def _of_words(ids: np.ndarray, cache: Words) -> np.ndarray:
-    """Encodings of the passages of one block of words."""
-    starts = np.arange(0, len(ids), PASSAGE)
-    sizes = np.diff(np.r_[starts, len(ids)]).astype(np.float32)[:, None]
-    means = np.add.reduceat(cache.rows[ids], starts, axis=0) / sizes
-    place = np.arange(len(ids)) // PASSAGE
-    order = np.lexsort((ids, place))
-    same = (np.diff(ids[order]) == 0) & (np.diff(place[order]) == 0)
-    repeats = np.bincount(place[order][1:][same], minlength=len(starts))
-    adjacent = np.bincount(place[1:][(np.diff(ids) == 0) & (np.diff(place) == 0)], minlength=len(starts))
-    tops = np.zeros(len(starts))
-    runs = np.diff(np.r_[-1, np.flatnonzero(np.r_[~same, True])])
-    np.maximum.at(tops, place[order][np.cumsum(runs) - 1], runs)
-    return np.concatenate([means, np.stack([repeats, adjacent, tops], axis=1) / sizes, sizes / PASSAGE], axis=1).astype(np.float32)
+    """Encodings of the passages of one block of words; row 0 of the cache is no word and fills the last passage up."""
+    count = -(-len(ids) // PASSAGE)
+    filled = np.zeros(count * PASSAGE, np.int64)
+    filled[: len(ids)] = ids
+    filled = filled.reshape(count, PASSAGE)
+    sizes = np.minimum(PASSAGE, len(ids) - PASSAGE * np.arange(count)).astype(np.float32)[:, None]
+    means = cache.rows[filled].sum(1) / sizes
+    ordered = np.sort(filled, axis=1)
+    same = np.zeros(ordered.shape, bool)
+    same[:, 1:] = (ordered[:, 1:] == ordered[:, :-1]) & (ordered[:, 1:] > 0)
+    place = np.arange(PASSAGE)
+    run = place - np.maximum.accumulate(np.where(same, 0, place), axis=1) + 1
+    adjacent = ((filled[:, 1:] == filled[:, :-1]) & (filled[:, 1:] > 0)).sum(1)
+    return np.concatenate([means, np.stack([same.sum(1), adjacent, run.max(1)], axis=1) / sizes, sizes / PASSAGE], axis=1).astype(np.float32)
 
 
 def passages(text: bytes | None, cache: Words) -> np.ndarray:
