@@ -17,6 +17,18 @@ def test_permutation_inverts_and_moves(n, data, tweak):
     assert n == 1 or x != y
 
 
+def test_neighbours_are_told_apart():
+    values = ["4738745156746829", "17.182.96.127", "+1 (668) 555-1911", "4111 1111 1111 1111", "83.215.238.250", "ab12@x.org", "+49 30 1234567", "4738745156746829"]
+    out, found = pii.permuted(" ".join(values))
+    assert sum(found.values()) == len(values) and len(out) == len(" ".join(values))
+    assert not any(v in out for v in values) and pii.permuted(out, back=True)[0] == " ".join(values)
+    for a in values:
+        for b in values:
+            if a != b and a != "+49 30 1234567":
+                out = pii.permuted(f"x {a} {b} y")[0]
+                assert a not in out and b not in out, (a, b, out)
+
+
 def test_small_domain_is_permuted():
     for n in (2, 7, 97):
         assert sorted(pii.moved(x, n, b"k", "") for x in range(n)) == list(range(n))
