@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from folioscope.plans import catalog
 
-HEADLINE = ["normalize_search", "clean_report_text", "usable_pages", "sweep_documents", "search_page_hits", "search_highlights", "findings_matched", "document_status_large", "progress", "keywords_dedup", "gutter_segments", "video_transcript"]
+HEADLINE = ["normalize_search", "clean_report_text", "usable_pages", "sweep_documents", "search_page_hits", "search_highlights", "document_status_large", "progress", "keywords_dedup", "gutter_segments", "video_transcript"]
 
 
 def main() -> None:

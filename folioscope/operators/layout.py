@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions.glyphs import text_width
-from folioscope.functions.text import SPACES, clean_report_text
+from folioscope.functions.text import SPACES, clean_report_text, let
 
 # Fixed values.
 GLUE, GUTTER_HEIGHTS, LEAST_GUTTER = 0.08, 2.5, 0.02
@@ -53,12 +53,14 @@ def mean(words: Column, field: str) -> Column:
 
 def segments(words: Column) -> Column:
     """Arrays of words, cut where a gap is wider than a gutter."""
-    ordered = by_x(words)
-    gutter = F.greatest(mean(words, "height") * GUTTER_HEIGHTS, F.lit(LEAST_GUTTER))
 
-    cut = F.filter(F.transform(ordered, lambda w, i: F.when((i > 0) & (w["x"] - F.get(ordered, i - 1)["x"] - F.get(ordered, i - 1)["width"] > gutter), i)), lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(0)), cut)
-    return F.transform(starts, lambda s, k: F.slice(ordered, s + 1, F.coalesce(F.get(cut, k), F.size(ordered)) - s))
+    def of(ordered: Column) -> Column:
+        gutter = F.greatest(mean(ordered, "height") * GUTTER_HEIGHTS, F.lit(LEAST_GUTTER))
+        wide = lambda w, i, g: w["x"] - F.get(ordered, i - 1)["x"] - F.get(ordered, i - 1)["width"] > g
+        cuts = let(gutter, lambda g: F.filter(F.transform(ordered, lambda w, i: F.when((i > 0) & wide(w, i, g), i)), lambda i: i.isNotNull()))
+        return let(cuts, lambda c: F.transform(F.concat(F.array(F.lit(0)), c), lambda s, k: F.slice(ordered, s + 1, F.coalesce(F.get(c, k), F.size(ordered)) - s)))
+
+    return let(by_x(words), of)
 
 
 def compacted(words: Column, line_of: Column | None = None) -> Column:
