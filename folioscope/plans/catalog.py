@@ -98,16 +98,25 @@ def file_name_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "p.author", "p.date_text", dates.iso(F.col("p.date")).alias("iso_date"), "p.from_name", text.viewer_name(F.col("name")).alias("viewer_name"))
 
 
-@query(sql.TOKENISE_WORDS)
-def tokenise_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs, the lines of the documents, cut into words by glyph widths."""
-    lines = adapt.token_lines(table(spark, sf_dir, "documents").filter("lang = 'en'"))
-    runs = lines.filter("page_number = 1").select("document_id", "page_number", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.col("line").alias("item_index"), F.array_join("tokens", " ").alias("str"), F.lit(500.0).alias("width"), F.lit(10.0).alias("height"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(50.0), (700 - F.col("line") * 20).cast("double")).alias("transform"))
+def _tokenised(lines: DataFrame) -> DataFrame:
+    runs = lines.select("document_id", "page_number", F.lit(600.0).alias("page_width"), F.lit(800.0).alias("page_height"), F.col("line").alias("item_index"), F.array_join("tokens", " ").alias("str"), F.lit(500.0).alias("width"), F.lit(10.0).alias("height"), F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(10.0), F.lit(50.0), (700 - F.col("line") * 20).cast("double")).alias("transform"))
     w = layout.run_words(runs)
     # A billionth more: sums in another order must not fall on the other side of a tie.
     return w.select("document_id", "page_number", "item_index", "token_index", "text", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("x", "y", "width", "height")))
 
 
+@query(sql.TOKENISE_WORDS)
+def tokenise_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs, the lines of the first pages of English documents as in the SQL, cut into words by glyph widths."""
+    return _tokenised(adapt.token_lines(table(spark, sf_dir, "documents").filter("lang = 'en'")).filter("page_number = 1"))
+
+
+@query()
+def tokenise_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """tokenise_words of all lines of all documents."""
+    return _tokenised(adapt.token_lines(table(spark, sf_dir, "documents")))
+
+
 @query(sql.GLYPH_PREFIX)
 def glyph_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", glyphs.width_prefix(F.col("p_name")).alias("prefix"))
@@ -134,41 +143,61 @@ def gutter_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("document_id", "page_number", "line", "segment", F.size("run").alias("n_words"), layout.raw_line_text(F.col("run")).alias("text"))
 
 
-@query(sql.COMPACT_WORDS)
-def compact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = adapt.lines(spark, sf_dir).filter("page_number = 1")
+def _compacted(lines: DataFrame) -> DataFrame:
     third = F.transform("words", lambda w: w.withField("x", w["x"] / 3).withField("confidence", w["confidence"] - 0.5))
     rows = lines.withColumn("words", third)
     names = F.transform("words", lambda w, i: F.when(i % 2 == 0, F.lit("b")).otherwise("a"))
-    c = rows.select("document_id", "line", layout.needs_compaction(F.col("words")).alias("needed"), F.explode(layout.compacted(F.col("words"), names)).alias("w"))
-    return c.select("document_id", "line", "needed", "w.id", "w.confidence", F.round("w.x", 6).alias("x"), "w.line_id")
+    c = rows.select("document_id", "page_number", "line", layout.needs_compaction(F.col("words")).alias("needed"), F.explode(layout.compacted(F.col("words"), names)).alias("w"))
+    return c.select("document_id", "page_number", "line", "needed", "w.id", "w.confidence", F.round("w.x", 6).alias("x"), "w.line_id")
+
+
+@query(sql.COMPACT_WORDS)
+def compact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the first pages, as in the SQL, made compact."""
+    return _compacted(adapt.lines(spark, sf_dir).filter("page_number = 1")).drop("page_number")
+
+
+@query()
+def compact_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """compact_words of all pages."""
+    return _compacted(adapt.lines(spark, sf_dir))
 
 
 @query()
 def row_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of each page's first three lines, shaken, as rows of text."""
-    lines = adapt.lines(spark, sf_dir).filter("page_number = 1 AND line < 3")
+    """Boxes of each page, shaken, as rows of text."""
+    lines = adapt.lines(spark, sf_dir)
     shaken = F.transform("words", lambda w: F.struct(w["text"].alias("text"), w["x"].alias("x"), (w["y"] + (w["pos"] % 3) * 0.002).alias("y"), w["width"].alias("width"), w["height"].alias("height")))
-    pages = lines.groupBy("document_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", shaken.alias("ws")))), lambda x: x["ws"])).alias("boxes"))
-    rows = pages.select("document_id", layout.rows_of(F.col("boxes")).alias("rows"))
-    return rows.select("document_id", F.size("rows").alias("n_rows"), layout.rows_text(F.col("rows")).alias("text"))
+    pages = lines.groupBy("document_id", "page_number").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", shaken.alias("ws")))), lambda x: x["ws"])).alias("boxes"))
+    rows = pages.select("document_id", "page_number", layout.rows_of(F.col("boxes")).alias("rows"))
+    return rows.select("document_id", "page_number", F.size("rows").alias("n_rows"), layout.rows_text(F.col("rows")).alias("text"))
 
 
 @query()
 def label_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first pages, without their lines, put back into lines."""
-    w = adapt.lines(spark, sf_dir).filter("page_number = 1").select("document_id", "page_number", F.explode("words").alias("w")).select("document_id", "page_number", "w.*")
+    """Words of all pages, without their lines, put back into lines."""
+    w = adapt.lines(spark, sf_dir).select("document_id", "page_number", F.explode("words").alias("w")).select("document_id", "page_number", "w.*")
     return layout.labelled_words(w)
 
 
-@query(sql.LINE_WORDS)
-def recognised_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with character centres as word boxes."""
-    lines = adapt.token_lines(table(spark, sf_dir, "documents")).filter("page_number = 1 AND line < 2").select("document_id", "page_number", F.col("line").alias("line_index"), F.array_join("tokens", " ").alias("text"), F.lit(90.0).alias("confidence"), F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.8).alias("width"), F.lit(0.02).alias("height"))
+def _recognised(lines: DataFrame) -> DataFrame:
+    lines = lines.select("document_id", "page_number", F.col("line").alias("line_index"), F.array_join("tokens", " ").alias("text"), F.lit(90.0).alias("confidence"), F.lit(0.1).alias("x"), F.lit(0.2).alias("y"), F.lit(0.8).alias("width"), F.lit(0.02).alias("height"))
     n = F.length("text")
     lines = lines.withColumn("char_offsets", F.when(F.col("line_index") == 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i + 0.5) / n)))
     w = layout.line_words(lines)
-    return w.select("document_id", "line_index", "token_index", "text", F.round("x", 6).alias("x"), F.round("width", 6).alias("width"))
+    return w.select("document_id", "page_number", "line_index", "token_index", "text", F.round("x", 6).alias("x"), F.round("width", 6).alias("width"))
+
+
+@query(sql.LINE_WORDS)
+def recognised_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two lines of each document, as in the SQL, the first with character centres, as word boxes."""
+    return _recognised(adapt.token_lines(table(spark, sf_dir, "documents")).filter("page_number = 1 AND line < 2")).drop("page_number")
+
+
+@query()
+def recognised_line_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """recognised_line_words of all lines; the first of each page has character centres."""
+    return _recognised(adapt.token_lines(table(spark, sf_dir, "documents")))
 
 
 @query()
