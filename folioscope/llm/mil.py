@@ -6,8 +6,8 @@ adjacent equal and distinct words. A layer h = tanh(W x + b) is followed by gate
 exp(w (tanh(V h_k) * sigmoid(U h_k))), and the weighted mean of h is scored by a logistic unit. Document labels train all
 of it by gradient descent (Adam), from a fixed seed.
 
-The model is fitted on the driver, on at most TRAIN_DOCS labelled documents (those with the smallest hashes of doc_id) and
-TRAIN_PASSAGES evenly spaced passages of each; scoring reads all passages of all documents.
+The model is fitted on the driver, on all passages of at most TRAIN_DOCS labelled documents (those with the smallest hashes
+of doc_id); scoring reads all passages of all documents.
 
 Nulls: a null or empty text is one passage of zeros, and scored like others; a null doc_id is never held out and has no
 label; null labels are left out, and several labels of a document are averaged. Without any label every score is 0.5.
@@ -28,9 +28,11 @@ from pyspark.sql import types as T
 
 from folioscope.llm.common import word_blocks
 
-PASSAGE, TRAIN_DOCS, TRAIN_PASSAGES, EPOCHS = 64, 6000, 128, 30
+PASSAGE, TRAIN_DOCS, EPOCHS = 64, 6000, 30
 HASHED, HIDDEN, ATTENTION = 24, 24, 12
 KEEP = 0.7
+#: Passages whose gradients are computed at once; a document's are never parted.
+BLOCK = 8192
 #: Words whose encodings a task keeps; it forgets all of them beyond that.
 CACHE = 400_000
 SHAPES = 10
@@ -136,30 +138,46 @@ class Model:
         return self.forward(self.scaled(np.concatenate(bags)), np.r_[0, np.cumsum([len(b) for b in bags])[:-1]])["score"]
 
 
+def _blocks(order: np.ndarray, sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Documents in order, in parts of BLOCK passages or fewer, or of one document."""
+    start = total = 0
+    for i, n in enumerate(sizes[order].tolist()):
+        if i > start and total + n > BLOCK:
+            yield order[start:i]
+            start, total = i, 0
+        total += n
+    yield order[start:]
+
+
 def fitted(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 1) -> Model:
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags).astype(np.float64)
+    sizes = np.array([len(b) for b in bags])
+    mean = sum(b.sum(0, dtype=np.float64) for b in bags) / sizes.sum()
+    deviation = np.sqrt(sum(((b - mean) ** 2).sum(0) for b in bags) / sizes.sum())
     near = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
     share = np.clip(labels.mean(), 0.01, 0.99)
-    model = Model(every.mean(0), every.std(0) + 1e-2, {"W": near(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": near(HIDDEN, ATTENTION), "U": near(HIDDEN, ATTENTION), "w": near(ATTENTION), "c": near(HIDDEN), "d": np.array([np.log(share / (1 - share))])})
-    p, scaled = model.weights, [model.scaled(b.astype(np.float64)) for b in bags]
+    model = Model(mean, deviation + 1e-2, {"W": near(FEATURES, HIDDEN), "b": np.zeros(HIDDEN), "V": near(HIDDEN, ATTENTION), "U": near(HIDDEN, ATTENTION), "w": near(ATTENTION), "c": near(HIDDEN), "d": np.array([np.log(share / (1 - share))])})
+    p = model.weights
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(bags))
         for i in range(0, len(order), batch):
-            own = order[i : i + batch]
-            x = np.concatenate([scaled[j] for j in own])
-            starts = np.r_[0, np.cumsum([len(scaled[j]) for j in own])[:-1]]
-            f = model.forward(x, starts)
-            bag, h, t, g, a = f["bag"], f["h"], f["t"], f["g"], f["a"]
-            d = (f["score"] - labels[own]) / len(own)
-            dz = d[:, None] * p["c"]
-            da = (dz[bag] * h).sum(1)
-            de = a * (da - np.add.reduceat(a * da, starts)[bag])
-            dt, dg = de[:, None] * p["w"] * g * (1 - t**2), de[:, None] * p["w"] * t * g * (1 - g)
-            dh = (a[:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h**2)
-            grads = {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ d, "d": np.array([d.sum()])}
+            batch_docs = order[i : i + batch]
+            grads = {k: np.zeros_like(v) for k, v in p.items()}
+            for own in _blocks(batch_docs, sizes):
+                x = model.scaled(np.concatenate([bags[j] for j in own]).astype(np.float64))
+                starts = np.r_[0, np.cumsum(sizes[own])[:-1]]
+                f = model.forward(x, starts)
+                bag, h, t, g, a = f["bag"], f["h"], f["t"], f["g"], f["a"]
+                d = (f["score"] - labels[own]) / len(batch_docs)
+                dz = d[:, None] * p["c"]
+                da = (dz[bag] * h).sum(1)
+                de = a * (da - np.add.reduceat(a * da, starts)[bag])
+                dt, dg = de[:, None] * p["w"] * g * (1 - t**2), de[:, None] * p["w"] * t * g * (1 - g)
+                dh = (a[:, None] * dz[bag] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h**2)
+                for k, v in {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ de, "c": f["z"].T @ d, "d": np.array([d.sum()])}.items():
+                    grads[k] += v
             step += 1
             for k, v in grads.items():
                 v = v + decay * p[k]
@@ -181,16 +199,12 @@ def training_bags(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for b in batches:
-            raw = []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                x = passages(t, cache)
-                at = np.unique(np.linspace(0, len(x) - 1, min(len(x), TRAIN_PASSAGES)).round().astype(int))
-                raw.append(x[at].astype("<f2").tobytes())
+            raw = [passages(t, cache).astype("<f2").tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), b.column(2)], ["doc_id", "x", "quality"])
 
     own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
     rows = own.mapInArrow(encode, "doc_id long, x binary, quality double").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).orderBy("doc_id").collect()
-    return [np.frombuffer(r.x, "<f2").reshape(-1, FEATURES).astype(np.float32) for r in rows], np.array([r.quality for r in rows])
+    return [np.frombuffer(r.x, "<f2").reshape(-1, FEATURES) for r in rows], np.array([r.quality for r in rows])
 
 
 def trained(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model | None:

@@ -87,3 +87,20 @@ def test_no_labels_and_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert mil.scored(docs, mil.trained(docs, labels)).first().score == 0.5
     assert mil.scored(docs.limit(0), None).collect() == []
+
+
+def test_training_reads_all_passages_of_long_texts(spark):
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
+    docs = spark.createDataFrame([(ids[0], "plain words go here " * 8000), (ids[1], "short")], "doc_id long, text string")
+    bags, quality = mil.training_bags(docs, spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, quality int"))
+    assert [len(b) for b in bags] == [500, 1] and quality.tolist() == [1, 0]
+
+
+def test_blocks_give_the_same_model(monkeypatch):
+    rng = np.random.default_rng(2)
+    bags, labels = [rng.normal(size=(n, mil.FEATURES)).astype(np.float32) for n in (3, 9, 1, 4, 6, 2)], np.array([1.0, 0, 1, 0, 1, 0])
+    whole = mil.fitted(bags, labels, epochs=5)
+    monkeypatch.setattr(mil, "BLOCK", 5)
+    assert [o.tolist() for o in mil._blocks(np.arange(6), np.array([3, 9, 1, 4, 6, 2]))] == [[0], [1], [2, 3], [4], [5]]
+    parted = mil.fitted(bags, labels, epochs=5)
+    assert all(np.allclose(v, parted.weights[k]) for k, v in whole.weights.items())
