@@ -53,7 +53,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, bits=4, seeds=(42,), blocks=2)
+    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, bits=4, seeds=(42,), blocks=2, least=None)
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 

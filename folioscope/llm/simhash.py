@@ -8,24 +8,29 @@ to every anchor within the covering radius plus half the block's threshold, take
 meets at an anchor. This is the covering radius plus threshold of the one-sided form (home to replicas), with 17 copies for
 a block of 32 bits in place of 170.
 
-At an anchor all pairs are compared by popcount, but only a spanning forest of the links leaves the task, so dense groups
-of near copies cost rows in proportion to their size. Components of all links are found on DataFrames.
+At an anchor all pairs are compared by popcount, but dense groups of near copies cost rows in proportion to their size: a
+task sends a shortest spanning forest of its links and, where they are confirmed later, the nearest of each member. Where a similarity is asked for, each link that leaves is confirmed by the exact Jaccard
+similarity of both texts' sets of shingles. Components of the links are found on DataFrames; nodes are named by the smallest
+doc_id with the fingerprint, so a component's smallest node is its id.
 
 Nulls: a null text has no words and fingerprint zero; a null doc_id keeps its row, and never is a component's id unless
-all of its documents have none (null). Repeated rows, ties: equal fingerprints are one node. Empty tables give no rows.
+all of its documents have none (null); doc_ids are below 2^62. Repeated rows, ties: equal fingerprints are one node. Empty
+tables give no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import connected_components, own_prefix, staged, word_blocks
+from folioscope.llm.common import checked_broadcast, connected_components, own_prefix, staged, word_blocks
 
 #: Shingle hashes whose bits are counted at once: 64 bytes each.
 BITS_AT_ONCE = 1 << 16
@@ -33,6 +38,14 @@ BITS_AT_ONCE = 1 << 16
 SMALL = 32
 #: Rows of the distance matrix that is held at a time, by the anchor's members.
 MATRIX = 1 << 20
+#: A node's nearest links that leave a task besides those that join two trees.
+WIDE_LINKS = 6
+#: Links that a task holds before it chooses among them.
+PENDING = 200_000
+#: First stand-in for a missing doc_id.
+NAMELESS = 1 << 62
+#: Rows of two longs that may be broadcast: 16 MB.
+TWO_LONG_ROWS = 1_000_000
 
 
 def shingle_hashes(text: bytes, k: int, seed: int) -> Iterator[list[int]]:
@@ -95,28 +108,72 @@ def anchors_of(x: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 
 def replicas(nodes: DataFrame, n: int, blocks: int) -> DataFrame:
-    """(anchor, f0, ...) for every anchor that a node is sent to. blocks: of each fingerprint; 64 / blocks is a power of two."""
+    """(anchor, node, f0, ...) for every anchor that a node is sent to. blocks: of each fingerprint; 64 / blocks is a power of two."""
     width = 64 // blocks
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, len(b), 4096):
-                fs = [b.column(i).slice(start, 4096).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(n)]
+                node, *fs = (b.column(i).slice(start, 4096).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(n + 1))
                 for i, f in enumerate(fs):
                     for j in range(blocks):
                         x = f >> np.uint64(width * j) & np.uint64((1 << width) - 1)
                         pairs = anchors_of(x, width)
                         at = np.concatenate([p[0] for p in pairs])
                         key = np.concatenate([p[1] for p in pairs]) | np.uint64((i * blocks + j) << width)
-                        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (key, *(g[at] for g in fs))], ["anchor", *(f"f{m}" for m in range(n))])
+                        yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (key, node[at], *(g[at] for g in fs))], ["anchor", "node", *(f"f{m}" for m in range(n))])
 
-    return nodes.select(*(f"f{i}" for i in range(n))).mapInArrow(send, "anchor long, " + ", ".join(f"f{i} long" for i in range(n)))
+    return nodes.select("node", *(f"f{i}" for i in range(n))).mapInArrow(send, "anchor long, node long, " + ", ".join(f"f{i} long" for i in range(n)))
 
 
 def _distances(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return sum(np.bitwise_count(a ^ b).astype(np.uint16) for a, b in zip(x, y, strict=True))
 
 
+def _nearest(fs: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, column) of each row's WIDE_LINKS nearest columns within `bits`, besides itself."""
+    step = max(1, MATRIX // max(1, len(columns)))
+    wide = [f[columns] for f in fs]
+    for i in range(0, len(rows), step):
+        own = rows[i : i + step]
+        d = _distances([f[own][:, None] for f in fs], [c[None, :] for c in wide])
+        d[own[:, None] == columns[None, :]] = 1 << 15
+        best = np.argpartition(d, WIDE_LINKS - 1, axis=1)[:, :WIDE_LINKS] if len(columns) > WIDE_LINKS else np.broadcast_to(np.arange(len(columns)), d.shape)
+        d = np.take_along_axis(d, best, 1)
+        a, b = np.nonzero(d <= bits)
+        if len(a):
+            yield own[a], columns[best[a, b]]
+
+
+def _near_within(fs: list[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a large anchor's members: the nearest of each.
+
+    Breadth first by close links while a member still reaches many: dense groups leave quickly. What is left is compared with
+    all members, and the first members of the dense groups with each other.
+    """
+    left, todo, idle, close, first = np.arange(len(fs[0])), [], 0, bits // 2, []
+    of_group = 0
+    while len(left) > SMALL and idle < 8:
+        if not todo:
+            todo, left, of_group = [left[0]], left[1:], 0
+        x = todo.pop()
+        if of_group < SMALL:
+            first.append(x)
+            of_group += 1
+        near = _distances([f[x] for f in fs], [f[left] for f in fs]) <= close
+        new = left[near]
+        idle = 0 if 16 * len(new) >= len(left) else idle + 1
+        if len(new):
+            yield np.full(len(new), x), new
+            todo.extend(new.tolist())
+            left = left[~near]
+    every = np.arange(len(fs[0]))
+    if len(left):
+        yield from _nearest(fs, left, every, bits)
+    if len(first) > 1:
+        yield from _nearest(fs, np.array(first), np.array(first), bits)
+
+
 def _links_within(fs: list[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs that connect the same members as all links of a large anchor do.
 
@@ -166,97 +223,156 @@ class Forest:
         return True
 
 
-def node_id(fs: list[np.ndarray]) -> np.ndarray:
-    """One long a node: the fingerprint itself, or a 64-bit mix of several."""
-    if len(fs) == 1:
-        return fs[0].view(np.int64)
-    h = fs[0].copy()
-    for f in fs[1:]:
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + f
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
-
-
-def links(sent: DataFrame, n: int, bits: int) -> DataFrame:
-    """(a, b): for each task a spanning forest of the links among the nodes that met at its anchors."""
+def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
+    """(a, b), a > b: for each task, links that connect the nodes that met at its anchors; many: besides, each node's nearest."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, edges, kept = Forest(), [], None
-
-        def take(a: np.ndarray, b: np.ndarray) -> None:
-            for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                if forest.join(x, y):
-                    edges.append((x, y))
-
-        def groups(key: np.ndarray, fs: list[np.ndarray]) -> None:
-            ids = node_id(fs)
+        met: dict[tuple[int, int], int] = {}
+        kept = None
+
+        def take(a: list[np.ndarray], b: list[np.ndarray], d: list[np.ndarray]) -> None:
+            for x, y, near in zip(*(np.concatenate(c).tolist() for c in (a, b, d)), strict=True) if a else ():
+                met[max(x, y), min(x, y)] = near
+            if len(met) > PENDING + 2 * fewest[0]:
+                choose()
+
+        fewest = [0]
+
+        def choose() -> None:
+            """Of the links so far, the nearest first, those that join two trees; `many`: besides, those of an end that has few."""
+            tree, close, few = Forest(), Forest(), Counter()
+            chosen = {}
+            for (x, y), d in sorted(met.items(), key=lambda m: (m[1], m[0])):
+                joins = tree.join(x, y)
+                if joins or many and close.root(x) != close.root(y) and (few[x] < WIDE_LINKS or few[y] < WIDE_LINKS):
+                    chosen[x, y] = d
+                    few[x] += 1
+                    few[y] += 1
+                    if d <= bits // 4:
+                        close.join(x, y)
+            met.clear()
+            met.update(chosen)
+            fewest[0] = len(met)
+
+        def groups(key: np.ndarray, ids: np.ndarray, fs: list[np.ndarray]) -> None:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sizes = np.diff(np.r_[starts, len(key)])
+            found: tuple[list, list, list] = ([], [], [])
             for s in range(1, SMALL):
-                i = np.repeat(starts, np.where((sizes > s) & (sizes <= SMALL), sizes - s, 0))
+                times = np.where((sizes > s) & (sizes <= SMALL), sizes - s, 0)
+                i = np.repeat(starts, times)
                 if not len(i):
                     continue
-                first = np.r_[0, np.cumsum(np.where((sizes > s) & (sizes <= SMALL), sizes - s, 0))[:-1]]
-                i = i + np.arange(len(i)) - np.repeat(first, np.where((sizes > s) & (sizes <= SMALL), sizes - s, 0))
-                i = i[_distances([f[i] for f in fs], [f[i + s] for f in fs]) <= bits]
-                take(ids[i], ids[i + s])
+                i = i + np.arange(len(i)) - np.repeat(np.r_[0, np.cumsum(times)[:-1]], times)
+                d = _distances([f[i] for f in fs], [f[i + s] for f in fs])
+                i, d = i[d <= bits], d[d <= bits]
+                for part, x in zip(found, (ids[i], ids[i + s], d), strict=True):
+                    part.append(x)
+            take(*found)
             for g in np.flatnonzero(sizes > SMALL).tolist():
                 own = slice(starts[g], starts[g] + sizes[g])
                 part = [f[own] for f in fs]
-                for a, b in _links_within(part, bits):
-                    take(ids[own][a], ids[own][b])
+                for a, b in chain(_near_within(part, bits) if many else (), _links_within(part, bits)):
+                    take([ids[own][a]], [ids[own][b]], [_distances([f[a] for f in part], [f[b] for f in part])])
 
         for b in batches:
             if not len(b):
                 continue
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(n + 1)]
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(n + 2)]
             now = new if kept is None else [np.concatenate(x) for x in zip(kept, new, strict=True)]
             cut = int(np.searchsorted(now[0], now[0][-1]))
             kept = [x[cut:].copy() for x in now]
             if cut:
-                groups(now[0][:cut], [x[:cut].view(np.uint64) for x in now[1:]])
+                groups(now[0][:cut], now[1][:cut], [x[:cut].view(np.uint64) for x in now[2:]])
         if kept is not None:
-            groups(kept[0], [x.view(np.uint64) for x in kept[1:]])
-        for i in range(0, len(edges), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in edges[i : i + 10_000]], pa.int64()) for j in (0, 1)], ["a", "b"])
+            groups(kept[0], kept[1], [x.view(np.uint64) for x in kept[2:]])
+        choose()
+        out = list(met)
+        for i in range(0, len(out), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in out[i : i + 10_000]], pa.int64()) for j in (0, 1)], ["a", "b"])
 
     return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
-def components(docs: DataFrame, k: int = 5, bits: int = 23, seeds: tuple[int, ...] = (42, 43), blocks: int = 4) -> DataFrame:
+def shingles(text: bytes, k: int) -> np.ndarray:
+    """The set of a text's shingles, by hash."""
+    return np.unique(np.fromiter((h for hashes in shingle_hashes(text.lower(), k, 0) for h in hashes), np.uint64))
+
+
+def confirmed(edges: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """The edges (a, b) whose documents' sets of shingles have at least this Jaccard similarity. docs: doc_id, text; of a doc_id's texts the first."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, one = None, None
+        for b in batches:
+            good = []
+            for i, (x, y, side) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)), strict=True)):
+                if (x, y) != pair:
+                    pair, one = (x, y), None
+                if side == 0 and one is None:
+                    one = shingles(b.column(3)[i].as_py() or b"", k)
+                elif side == 1 and one is not None:
+                    other = shingles(b.column(3)[i].as_py() or b"", k)
+                    both = len(np.intersect1d(one, other, assume_unique=True))
+                    if both >= least * (len(one) + len(other) - both):
+                        good.append(pair)
+                    one = None
+            yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in good], pa.int64()) for j in (0, 1)], ["a", "b"])
+
+    sides = edges.select("a", "b", F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("of")) for i, c in enumerate("ab")))).alias("s")).select("a", "b", "s.side", "s.of")
+    met = docs.join(checked_broadcast(sides, TWO_LONG_ROWS // 2), F.col("doc_id") == F.col("of")).select("a", "b", "side", F.col("text").cast("binary").alias("text"))
+    return met.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(compare, "a long, b long")
+
+
+def components(docs: DataFrame, k: int = 5, bits: int = 34, seeds: tuple[int, ...] = (42, 43), blocks: int = 4, least: float | None = 0.8) -> DataFrame:
     """doc_id, f0, f1, ..., component_id for every row of docs (doc_id, text).
 
-    Documents link if their fingerprints of all seeds differ in `bits` bits or fewer together; component_id is the smallest
-    doc_id reachable. All links count: 3 * blocks * len(seeds) must exceed `bits`. The defaults are for five-word shingles
-    and a Jaccard similarity of 0.8, at which 19 of the 128 bits differ on average.
+    Documents link if their fingerprints of all seeds differ in `bits` bits or fewer together and, where `least` is given,
+    their sets of shingles have at least this Jaccard similarity; component_id is the smallest doc_id reachable. Fingerprints
+    that differ in fewer than 3 * blocks * len(seeds) bits always meet at an anchor, and others if they differ in two bits at
+    most of some block. The defaults are for five-word shingles and a similarity of 0.8, at which 19 of the 128 bits differ
+    on average, 34 or fewer in all but one of ten thousand pairs, and one of 600 pairs doesn't meet.
     """
-    if 3 * blocks * len(seeds) <= bits or 64 % blocks or 64 // blocks & (64 // blocks - 1) or 64 // blocks > 32:
-        raise ValueError("blocks must be 2, 4, 8, ... with 3 * blocks * len(seeds) > bits")
-    n = len(seeds)
-    names = [f"f{i}" for i in range(n)]
-    prints = staged(fingerprints(docs, k, seeds), "fingerprints")
-    nodes = prints.groupBy(*names).agg(F.min("doc_id").alias("first"))
+    if 64 % blocks or 64 // blocks & (64 // blocks - 1) or 64 // blocks > 32 or least is None and 3 * blocks * len(seeds) <= bits:
+        raise ValueError("blocks must be 2, 4, 8, ..., and without `least` 3 * blocks * len(seeds) > bits")
+    nameless = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
+    found = _components(_named(docs), k, bits, seeds, blocks, least)
+    return found.select(nameless("doc_id"), *(f"f{i}" for i in range(len(seeds))), nameless("component_id"))
 
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = node_id([b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(n)])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids)], [*b.schema.names, "node"])
 
-    nodes = staged(nodes.withColumn("node", F.col("f0")) if n == 1 else nodes.mapInArrow(name, ", ".join(f"{x} long" for x in names) + ", first long, node long"), "nodes")
-    roots = staged(connected_components(links(replicas(nodes, n, blocks), n, bits)), "roots")
-    with_root = nodes.join(roots, "node", "left").select(*names, "first", F.coalesce("root", "node").alias("root"))
-    smallest = with_root.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = with_root.join(smallest, "root").select(*names, "component_id")
-    return prints.join(of_print, names)
+def _stand_in() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NAMELESS) + F.xxhash64(F.col("text").cast("string")).bitwiseAND(F.lit(NAMELESS // 2 - 1)))
 
 
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select(_stand_in().alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _components(own: DataFrame, k: int, bits: int, seeds: tuple[int, ...], blocks: int, least: float | None) -> DataFrame:
+    n = len(seeds)
+    names = [f"f{i}" for i in range(n)]
+    prints = staged(fingerprints(own, k, seeds), "fingerprints")
+    nodes = staged(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    # Of different texts under one doc_id each may be a node; they are one.
+    edges = staged(links(replicas(nodes, n, blocks), n, bits, least is not None).filter("a != b").distinct(), "links")
+    if least is not None:
+        edges = staged(confirmed(edges, own, k, least), "confirmed")
+    roots = staged(connected_components(edges), "roots")
+    of_print = nodes.join(checked_broadcast(roots, TWO_LONG_ROWS), "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
+    return prints.join(checked_broadcast(staged(of_print, "components"), TWO_LONG_ROWS), names)
+
+
+def deduplicated(docs: DataFrame, k: int = 5, bits: int = 34, seeds: tuple[int, ...] = (42, 43), blocks: int = 4, least: float | None = 0.8) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id, and of its repeated rows one.
 
-    A row without a doc_id counts as one with a large number from its text, so it stays if it is alone.
+    A row without a doc_id counts as one with a large number from its text, so it stays if it is alone. Texts don't move
+    unless more documents go than may be broadcast; only rows that repeat a doc_id are put in order.
     """
     key, rank = (own_prefix(docs) + x for x in ("key", "rank"))
-    own = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 62) + F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1))))
-    keep = components(own.select(F.col(key).alias("doc_id"), "text"), **how).filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    ranked = own.join(keep, key).withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy("text")))
-    return ranked.filter(F.col(rank) == 1).select(*docs.columns)
+    own = docs.withColumn(key, _stand_in())
+    found = staged(_components(_named(docs), k, bits, seeds, blocks, least).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("component_id")), "components")
+    gone = found.filter("component_id != doc_id OR n > 1").select(F.col("doc_id").alias(key))
+    again = found.filter("component_id = doc_id AND n > 1").select(F.col("doc_id").alias(key))
+    single = own.join(checked_broadcast(gone, TWO_LONG_ROWS), key, "left_anti")
+    ranked = own.join(checked_broadcast(again, TWO_LONG_ROWS), key, "left_semi").withColumn(rank, F.row_number().over(Window.partitionBy(key).orderBy("text")))
+    return single.select(*docs.columns).union(ranked.filter(F.col(rank) == 1).select(*docs.columns))

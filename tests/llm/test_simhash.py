@@ -86,7 +86,7 @@ def test_two_seeds_equal_brute_force(spark):
             words[rng.randrange(len(words))] = "new"
         texts.append(" ".join(words))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in simhash.components(docs).collect()}
+    got = {r.doc_id: r for r in simhash.components(docs, bits=23, least=None).collect()}
     both = [got[i].f0 % 2**64 << 64 | got[i].f1 % 2**64 for i in range(len(texts))]
     assert [got[i].component_id for i in range(len(texts))] == plain_components(both, 23)
 
@@ -99,3 +99,45 @@ def test_deduplicated_keeps_one_of_a_group_and_all_columns(spark):
     assert kept.columns == docs.columns
     assert sorted(kept.collect(), key=str) == sorted([docs.collect()[i] for i in (0, 4, 5)], key=str)
     assert simhash.deduplicated(docs.limit(0)).collect() == []
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} for ws in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_confirmed_links_equal_exact_similarity(spark):
+    """Pairs from 0.6 to 0.95: those of 0.8 or more link, others don't."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    texts, pairs = [], []
+    for i in range(400):
+        words = rng.choices(vocabulary, k=rng.randint(60, 300))
+        other = list(words)
+        aim = 0.6 + 0.35 * (i % 50) / 50
+        while jaccard(" ".join(words), " ".join(other)) > aim:
+            other[rng.randrange(len(other))] = rng.choice(vocabulary)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), " ".join(other)]
+    got = {r.doc_id: r.component_id for r in simhash.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    likeness = {p: jaccard(*(texts[i] for i in p)) for p in pairs}
+    linked = {p for p in pairs if got[p[1]] == got[p[0]]}
+    assert not {p for p in linked if likeness[p] < 0.8}
+    want = {p for p in pairs if likeness[p] >= 0.8}
+    assert len(want) > 100 and len(linked) >= 0.98 * len(want)
+    assert all(got[i] in (i, i - i % 2) for i in range(len(texts)))
+
+
+def test_a_large_family_is_one_group(spark):
+    """Two hundred copies with a few changes each: every one has a partner at 0.8 or more."""
+    rng = random.Random(13)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    words = rng.choices(vocabulary, k=200)
+    texts = [" ".join(words)]
+    for _ in range(200):
+        own = texts[rng.randrange(len(texts))].split()
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        texts.append(" ".join(own))
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
