@@ -1,8 +1,8 @@
 """Quality rules with adaptive thresholds, on built-in functions only.
 
-Every text is measured once, and the measures are written as a table. KLL quantile sketches of each measure are built by
-language and source, combined before the shuffle, and merged into sketches of the language and of the corpus. A group's
-fences are its quartiles widened by FENCE times their distance and by a measure's slack; a group of fewer than LEAST rows
+Every text is measured once, and the measures are written as a table. Quantile sketches of each measure are built by language
+and source: counts of logarithmic buckets, so quantiles have a relative error of ACCURACY at most. They are combined before the
+shuffle, merge by addition into sketches of the language and of the corpus, and come out alike in every run. A group's fences are its quartiles widened by FENCE times their distance and by a measure's slack; a group of fewer than LEAST rows
 takes its language's, and a small language the corpus's. The fences are joined to the measures, and a document is kept if
 all of its measures lie within them and it didn't fail a base rule.
 
@@ -12,14 +12,17 @@ rows. Texts may be of any length. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import GAP, WORD, checked_broadcast, staged
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Accuracy of the sketches; they are exact up to so many rows.
-SKETCH_K = 1024
+ACCURACY = 0.01
+#: Values up to this count as zero.
+ZERO = 1e-6
 LEAST, FENCE = 100, 3.0
 #: measure: (slack, whether low values are held too)
 MEASURES = {"symbol_rate": (0.1, False), "dup_line_rate": (0.5, False), "repeat_rate": (0.3, False), "adjacent_rate": (0.2, False), "upper_rate": (0.2, False), "mean_length": (2.0, True)}
@@ -57,21 +60,42 @@ def _rates(rows: DataFrame) -> DataFrame:
     })
 
 
+def bucket(x: Column) -> Column:
+    """The number of a value's bucket; null for zero. A bucket's bounds are powers of (1 + ACCURACY) / (1 - ACCURACY)."""
+    return F.when(x > ZERO, F.ceil(F.log(x) / math.log((1 + ACCURACY) / (1 - ACCURACY))).cast("int"))
+
+
+def _middle(b: Column) -> Column:
+    gamma = (1 + ACCURACY) / (1 - ACCURACY)
+    return F.coalesce(2 * F.pow(F.lit(gamma), b) / (gamma + 1), F.lit(0.0))
+
+
+def sketches(rates: DataFrame) -> DataFrame:
+    """(lang, source, measure, bucket, n): 2000 rows or so a group and measure, at most."""
+    every = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in MEASURES)))
+    return rates.select("lang", "source", every.alias("m")).groupBy("lang", "source", "m.measure", "m.bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, n, low_<m>, high_<m>): the first and third quartile of each measure, from sketches merged by those columns."""
+    merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*by, "measure")
+    rows = merged.withColumn("all", F.sum("n").over(whole)).withColumn("upto", F.sum("n").over(whole.orderBy(F.col("bucket").asc_nulls_first())))
+    at = lambda m, q: F.coalesce(F.min(F.when((F.col("measure") == m) & (F.col("upto") >= q * F.col("all")), _middle(F.col("bucket")))), F.lit(0.0))
+    return rows.groupBy(*by).agg(F.max("all").alias("n"), *(at(m, q).alias(f"{side}_{m}") for m in MEASURES for side, q in (("low", 0.25), ("high", 0.75))))
+
+
 def fences(rates: DataFrame) -> DataFrame:
     """lang, source and low_<m>, high_<m> for every measure m. rates: documents with words only."""
-    def merged(by: list[str], sketches: DataFrame) -> DataFrame:
-        return sketches.groupBy(*by).agg(F.sum("n").alias("n"), *(F.expr(f"kll_merge_agg_double({m})").alias(m) for m in MEASURES))
-
-    of_group = rates.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.expr(f"kll_sketch_agg_double({m}, {SKETCH_K})").alias(m) for m in MEASURES))
-    of_group = staged(of_group, "sketches")
-    of_lang = merged(["lang"], of_group).select(F.col("lang").alias("lang_"), F.struct("n", *MEASURES).alias("l"))
-    # One row of sketches of bounded size, so it may pass through the driver.
-    of_all = merged([], of_group).first()
-    rows = of_group.select("lang", "source", F.struct("n", *MEASURES).alias("g")).join(of_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left")
+    of_group = staged(sketches(rates), "sketches")
+    names = [f"{side}_{m}" for m in MEASURES for side in ("low", "high")]
+    of_lang = quartiles(of_group, ["lang"]).select(F.col("lang").alias("lang_"), F.struct("n", *names).alias("l"))
+    # One row of twelve numbers.
+    of_all = quartiles(of_group, []).first()
+    rows = quartiles(of_group, ["lang", "source"]).select("lang", "source", F.struct("n", *names).alias("g")).join(of_lang, F.col("lang").eqNullSafe(F.col("lang_")), "left")
     out: list[Column] = []
     for m, (slack, both) in MEASURES.items():
-        sketch = F.when(F.col("g.n") >= LEAST, F.col(f"g.{m}")).when(F.col("l.n") >= LEAST, F.col(f"l.{m}")).otherwise(F.lit(of_all[m]))
-        low, high = (F.call_function("kll_sketch_get_quantile_double", sketch, F.lit(q)) for q in (0.25, 0.75))
+        low, high = (F.when(F.col("g.n") >= LEAST, F.col(f"g.{side}_{m}")).when(F.col("l.n") >= LEAST, F.col(f"l.{side}_{m}")).otherwise(F.lit(of_all[f"{side}_{m}"])) for side in ("low", "high"))
         out.append((high + FENCE * (high - low) + slack).alias(f"high_{m}"))
         out.append((low - FENCE * (high - low) - slack if both else F.lit(float("-inf"))).alias(f"low_{m}"))
     return rows.select("lang", "source", *out)

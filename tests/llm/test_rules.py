@@ -50,3 +50,38 @@ def test_fences_follow_the_group_and_junk_goes(spark):
 def test_native_plan(spark):
     docs = spark.createDataFrame([(1, "a b c", "en", "s", 1, "x")], SCHEMA)
     assert not re.search("Python|Pandas|Arrow", rules.judged(docs)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_verdicts_of_a_large_group_rerun_alike_and_equal_brute_force(spark):
+    """5000 rows of one group: kept follows the quartiles of a sketch that is summed in plain Python."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(5000):
+        words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(60)]
+        for j in rng.sample(range(60), rng.choice([0, 0, 1, 3, 12, 30]) if i % 3 == 0 else 0):
+            words[j] += "#" if i % 2 else "A"
+        rows.append((i, " ".join(words), "en", "hot", 0, ""))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: r for r in rules.judged(docs).collect()}
+    again = {r.doc_id: r.kept for r in rules.judged(docs.repartition(7)).collect()}
+    assert {i: r.kept for i, r in got.items()} == again
+    gamma = (1 + rules.ACCURACY) / (1 - rules.ACCURACY)
+
+    def quartile(values, q):
+        counts = Counter(math.ceil(math.log(v) / math.log(gamma)) if v > rules.ZERO else -math.inf for v in values)
+        upto = 0
+        for b, n in sorted(counts.items()):
+            upto += n
+            if upto >= q * len(values):
+                return 0.0 if b == -math.inf else 2 * gamma**b / (gamma + 1)
+
+    rates = {i: {"symbol_rate": r.n_symbols / r.n_words, "dup_line_rate": r.n_dup_lines / max(1, r.n_lines), "repeat_rate": r.n_repeat_words / r.n_words, "adjacent_rate": r.n_adjacent / r.n_words, "upper_rate": r.n_upper / r.word_chars, "mean_length": r.word_chars / r.n_words} for i, r in got.items()}
+    want = {i: not got[i].base_failed for i in rates}
+    for m, (slack, both) in rules.MEASURES.items():
+        low, high = (quartile([x[m] for x in rates.values()], q) for q in (0.25, 0.75))
+        for i, x in rates.items():
+            want[i] = want[i] and x[m] <= high + rules.FENCE * (high - low) + slack and (not both or x[m] >= low - rules.FENCE * (high - low) - slack)
+    assert {i: r.kept for i, r in got.items()} == want and 100 < sum(want.values()) < 4990
