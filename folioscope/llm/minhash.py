@@ -9,9 +9,12 @@ fingerprints agree by chance in a bin with probability 1/256; likeness() takes t
 A text with fewer words has one shingle, its whole sequence; one without words has an empty fingerprint, which is like
 another such one (1.0) and unlike all others (0.0). A null text is empty.
 
-edited() pairs each document with the next by ascending doc_id, without one task that sees all: ids are cut into ranges at
-approximate quantiles, each range is ordered by itself, and closed with a copy of the next range's first document. Nulls
-come first; repeated ids are ordered by text, and a single document is its own next. An empty table gives no rows.
+edited() pairs each document with the next by ascending doc_id, without one task that sees all: ids are cut into ranges of
+about RANGE_ROWS rows, in two steps of approximate quantiles, and the rows of an id that has more than that by a hash of their
+texts; each range is ordered by itself and closed with a copy of the next range's first document. Nulls come first; repeated
+ids are ordered by text, those of an id with more than RANGE_ROWS rows by its hash first, and a single document is its own
+next. Rows that repeat an id and its
+text are one range, however many they are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,14 +24,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import WORD
+from folioscope.llm.common import WORD, checked_broadcast, staged
 
 SHINGLE, BINS, BITS = 5, 256, 8
 PRIME = 257
 #: Filled bins up to which an empty bin ranks them all; beyond that it probes.
 FEW = 40
-#: Rows of a range of ids, and most ranges: two levels of 64 quantiles.
+#: Rows of a range of ids; ranges of the first step, and bounds of the second that are looked through at once.
 RANGE_ROWS, LEVEL = 5000, 64
+#: Bits that number the parts of one id.
+PARTS = 20
 EMPTY = (1 << 56) - 1
 
 
@@ -92,42 +97,62 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 2, F.lit(1.0)).when(both == 1, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (same - chance) / (1 - chance)))
 
 
-def _range_of(docs: DataFrame, order: str) -> Column:
-    """The number of the id's range; the bounds are a few thousand quantiles at most, in two levels."""
+def _ranged(docs: DataFrame) -> DataFrame:
+    """docs with __hash, of the texts of ids with many rows (else 0), and __range, the number of the row's range in order of
+    __order and __hash.
+
+    The first step's bounds, LEVEL at most, are literals; those of the second are an array for each of its ranges, all
+    together one long for RANGE_ROWS rows.
+    """
+    order = F.col("__order")
     rows = docs.count()
-    many = max(1, min(LEVEL * LEVEL, rows // RANGE_ROWS))
-    if many == 1:
-        return F.lit(0)
-    bounds = sorted(set(docs.agg(F.percentile_approx(order, [i / many for i in range(1, many)], 20_000)).first()[0]))
-    parts = [bounds[i : i + LEVEL] for i in range(0, len(bounds), LEVEL)]
-    at = F.col(order)
-    below = lambda xs: F.size(F.filter(F.array(*map(F.lit, xs)), lambda b: b <= at))
-    level = F.greatest(F.lit(0), below([p[0] for p in parts]) - 1)
-    inner = F.lit(0)
-    for i in reversed(range(len(parts))):
-        inner = F.when(level == i, below(parts[i]) + LEVEL * i).otherwise(inner)
-    return inner
+    many = -(-rows // RANGE_ROWS)
+    if many <= 1:
+        return docs.withColumns({"__hash": F.lit(0).cast("long"), "__range": F.lit(0).cast("long")})
+    coarse = sorted(set(docs.agg(F.percentile_approx("__order", [i / min(many, LEVEL) for i in range(1, min(many, LEVEL))] or [0.5], 20_000)).first()[0]))
+    below = lambda bounds, x: F.size(F.filter(bounds, lambda b: b <= x))
+    docs = docs.withColumn("__coarse", below(F.array(*map(F.lit, coarse)), order))
+    # Ids with many rows, one for RANGE_ROWS rows at most; each is a range of its own first.
+    heavy = docs.groupBy("__order", "__coarse").agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > RANGE_ROWS)
+    heavy = staged(heavy.withColumn("__rows", F.ceil(F.col("__rows") / RANGE_ROWS)).withColumnRenamed("__rows", "__parts"), "heavy")
+    each = max(1, -(-many // LEVEL))
+    fine = docs.groupBy("__coarse").agg(F.percentile_approx("__order", [i / each for i in range(1, each)] or [0.5], 20_000).alias("b"))
+    alone = heavy.select("__coarse", F.explode(F.array("__order", F.col("__order") + 1)).alias("b"))
+    bounds = fine.select("__coarse", F.explode("b").alias("b")).union(alone).groupBy("__coarse").agg(F.sort_array(F.collect_set("b")).alias("__bounds"))
+    bounds = bounds.withColumn("__firsts", F.filter("__bounds", lambda b, i: i % LEVEL == 0))
+    docs = docs.join(F.broadcast(staged(bounds, "bounds")), "__coarse", "left")
+    block = F.greatest(F.lit(0), below(F.col("__firsts"), order) - 1)
+    inner = block * LEVEL + below(F.slice("__bounds", block * LEVEL + 1, F.lit(LEVEL)), order)
+    docs = docs.join(checked_broadcast(heavy.drop("__coarse")), "__order", "left")
+    docs = docs.withColumn("__hash", F.when(F.col("__parts").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+    part = F.shiftrightunsigned("__hash", 64 - PARTS) * F.coalesce(F.col("__parts"), F.lit(1))
+    number = (F.col("__coarse").cast("long") * (1 << 62 - 2 * PARTS) + inner) * (1 << PARTS) + F.shiftright(part, PARTS)
+    return docs.withColumn("__range", number).drop("__coarse", "__bounds", "__firsts", "__parts")
 
 
 def with_next(docs: DataFrame, carried: list[str], prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """prepare(docs) (doc_id, text, ...) with next_<c> of the next document for each carried column.
 
-    prepare adds columns row by row; it sees each document once, and those that close a range once more.
+    prepare adds columns row by row; it sees each document once, and those that close a range once more. Columns of docs
+    mustn't begin with "__".
     """
-    order, part, real = "__order", "__range", "__real"
-    docs = docs.withColumn(order, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    docs = docs.withColumn(part, _range_of(docs.select(order), order))
-    least = docs.groupBy(part).agg(F.min(order).alias("__least"))
-    # One document a range, so 4096 at most; then each range gets that of the range after it.
-    heads = docs.join(F.broadcast(least.withColumnRenamed(part, "__of")), (F.col(part) == F.col("__of")) & (F.col(order) == F.col("__least")))
-    heads = heads.groupBy(part).agg(F.min("text").alias("text"))
-    along = Window.orderBy(part)
+    kept = docs.columns
+    docs = _ranged(docs.withColumn("__order", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))))
+    # Hashes stand in order of their bits.
+    first = F.struct("__order", F.shiftrightunsigned("__hash", 1).alias("__up"), F.col("__hash").alias("__h"))
+    least = docs.groupBy("__range").agg(F.min(first).alias("__least"))
+    # One row a range, without texts, in one task: two numbers for RANGE_ROWS documents.
+    along = Window.orderBy("__range")
     whole = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ends = heads.select(F.col(part), F.coalesce(F.lead("text").over(along), F.first("text").over(whole)).alias("text"))
-    rows = prepare(docs.withColumn(real, F.lit(1)).unionByName(ends.withColumn(real, F.lit(0)), allowMissingColumns=True))
-    inside = Window.partitionBy(part).orderBy(F.col(real).desc(), order, "text")
+    least = staged(least.withColumn("__before", F.coalesce(F.lag("__range").over(along), F.last("__range").over(whole))), "firsts")
+    of = checked_broadcast(least.select(F.col("__range").alias("__of"), "__least", "__before"), 2_000_000)
+    heads = docs.join(of, (F.col("__range") == F.col("__of")) & (F.col("__order") == F.col("__least.__order")) & (F.col("__hash") == F.col("__least.__h")))
+    ends = heads.groupBy(F.col("__before").alias("__range")).agg(F.min("text").alias("text"))
+    rows = prepare(docs.withColumn("__real", F.lit(1)).unionByName(ends.withColumn("__real", F.lit(0)), allowMissingColumns=True))
+    inside = Window.partitionBy("__range").orderBy(F.col("__real").desc(), "__order", F.shiftrightunsigned("__hash", 1), "__hash", "text")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(inside) for c in carried})
-    return rows.filter(F.col(real) == 1).drop(order, part, real)
+    added = [c for c in rows.columns if c not in kept and not c.startswith("__")]
+    return rows.filter(F.col("__real") == 1).select(*kept, *added)
 
 
 def edited(docs: DataFrame) -> DataFrame:

@@ -71,3 +71,24 @@ def test_no_python_in_the_plan(spark, tmp_path):
     spark.createDataFrame([(1, "a b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = op5_minhash_fingerprints(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_next_of_one_hot_id_and_of_many_ranges(spark):
+    """100 000 rows, most under one id: ranges stay small, and each row has its next in one global order."""
+    from pyspark.sql import Window
+
+    rows = spark.range(100_000).select(F.when(F.col("id") < 60_000, F.lit(77)).when(F.col("id") % 50 == 0, F.lit(None)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    minhash.RANGE_ROWS, was = 500, minhash.RANGE_ROWS
+    try:
+        ranged = minhash._ranged(rows.withColumn("__order", F.coalesce("doc_id", F.lit(-(1 << 63)))))
+        assert ranged.groupBy("__range").count().agg(F.max("count")).first()[0] < 2000
+        got = minhash.with_next(rows, ["text"])
+        assert got.columns == ["doc_id", "text", "next_text"]
+        many = F.coalesce(F.col("doc_id"), F.lit(77)) == 77
+        h = F.when(many, F.xxhash64("text")).otherwise(0)
+        order = Window.orderBy(F.col("doc_id").asc_nulls_first(), F.shiftrightunsigned(h, 1), h, "text")
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        want = rows.withColumn("next_text", F.coalesce(F.lead("text").over(order), F.first("text").over(whole)))
+        assert got.count() == 100_000 and got.exceptAll(want).isEmpty()
+    finally:
+        minhash.RANGE_ROWS = was
