@@ -1,10 +1,12 @@
 """WARC archives with revisit records for repeated payloads.
 
 Only headers (digest, length, page, url) meet in a shuffle by payload digest: of the equal payloads of at least
-`least_bytes` bytes, the record with the smallest page_id is the response and the others become revisits of it. Payloads
-stay where they were read unless there are more repeated digests than may be broadcast. Archives are written by Spark's
-text writer, each row one record and the record end of two CRLFs as line separator, so they get Spark's commit protocol
-and any file system. Reading parses them by Content-Length, checks every payload against its digest, and joins revisits
+`least_bytes` bytes, the record with the smallest page_id is the response and the others become revisits of it, which are
+written from their headers. Payloads stay where they were read; beyond as many repeated digests as may be broadcast (with a
+page_id each), a bit map of them is, and only payloads whose bit is set move. Archives are written by Spark's text writer,
+each row one record and the record end of two CRLFs as line separator, so they get Spark's commit protocol and any file
+system; compressed, a file is one gzip member, not one a record. Reading passes over records that are neither responses nor
+revisits, takes a missing digest from the payload, and parses them by Content-Length, checks every payload against its digest, and joins revisits
 to the responses that they refer to.
 
 Nulls: a null payload is empty, a null url is urn:unknown, a null page_id is left out of the record and never a response
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checked_broadcast, new_path, staged
+from folioscope.llm.common import new_path, staged
 
 LEAST_BYTES, DATE, ARCHIVE_BYTES = 100, "2024-01-01T00:00:00Z", 16 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
+#: Repeated digests that may be broadcast, 100 bytes each with a page_id; bits of the map beyond that.
+REPEATED_ROWS, MAP_BITS = 500_000, 1 << 29
 HEADERS = "page_id long, record_type string, record_id string, refers_to_id string, payload_bytes long, payload_digest string, target_uri string"
 
 
@@ -35,20 +39,50 @@ def record_id(key: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
-def resolved(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """(page_id, uri, payload: string of its bytes, bytes, digest, first: struct(page_id, uri) of the original for revisits)."""
+def _digested(pages: DataFrame) -> DataFrame:
+    """(page_id, uri, payload: string of its bytes, bytes, digest)."""
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
-    own = pages.select(
+    return pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("urn:unknown")), r"[\x00-\x20\x7F]", "%20").alias("uri"),
         payload.cast("string").alias("payload"), F.octet_length(payload).cast("long").alias("bytes"), F.sha2(payload, 256).alias("digest"),
     )
-    heads = own.filter(F.col("bytes") >= least_bytes).groupBy(F.col("digest").alias("key"))
-    heads = heads.agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri"))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
-    # Short payloads can't match, and their keys spread them.
-    key = F.when(F.col("bytes") >= least_bytes, F.col("digest")).otherwise(F.concat(F.lit("short "), F.xxhash64("page_id", "uri").cast("string")))
-    joined = own.withColumn("key", key).join(checked_broadcast(staged(heads, "repeated")), "key", "left").drop("key")
-    return joined.withColumn("first", F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.col("first")))
+
+
+def _place(digest: Column) -> Column:
+    """A digest's bit in the map: its first 29 bits."""
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(MAP_BITS - 1))
+
+
+def _may_repeat(own: DataFrame, repeated: DataFrame) -> DataFrame:
+    """own with `maybe`: false only if its digest isn't in `repeated`. The map is 64 MB at most, however many digests it holds."""
+    maps = repeated.select(_place(F.col("digest")).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("map"))
+    at = F.bitmap_bit_position(_place(F.col("digest")))
+    byte = F.conv(F.hex(F.substring(F.col("map"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2
+    return own.join(F.broadcast(maps), F.bitmap_bucket_number(_place(F.col("digest"))) == F.col("bucket"), "left").withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("bucket", "map")
+
+
+def resolved(pages: DataFrame, least_bytes: int = LEAST_BYTES, repeated_rows: int = REPEATED_ROWS) -> DataFrame:
+    """(page_id, uri, payload, bytes, digest, first: struct(page_id, uri) of the original for revisits, which have no payload)."""
+    own = _digested(pages)
+    heads = staged(own.drop("payload"), "headers")
+    alike = heads.filter(F.col("bytes") >= least_bytes)
+    repeated = alike.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    repeated = staged(repeated.filter("n > 1 AND first IS NOT NULL").drop("n"), "repeated")
+    other = ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    revisits = alike.join(repeated, "digest").filter(other).withColumn("payload", F.lit(None).cast("string"))
+    # The payloads of all other records, where they were read: only those that may be revisits are looked up.
+    of = repeated.select("digest", F.struct(F.col("first.page_id").alias("page_id")).alias("first"))
+    stays = F.col("first").isNull() | ~other | (F.col("bytes") < least_bytes)
+    if repeated.count() <= repeated_rows:
+        responses = own.join(F.broadcast(of), "digest", "left").filter(stays)
+    else:
+        marked = _may_repeat(own, repeated).withColumn("maybe", F.col("maybe") & (F.col("bytes") >= least_bytes))
+        met = marked.filter("maybe").join(of, "digest", "left").filter(stays)
+        responses = marked.filter("NOT maybe").withColumn("first", F.lit(None).cast("struct<page_id:long>")).unionByName(met)
+    columns = ["page_id", "uri", "payload", "bytes", "digest"]
+    return responses.select(*columns, F.lit(None).cast(repeated.schema["first"].dataType).alias("first")).unionByName(revisits.select(*columns, "first"))
 
 
 def records(pages: DataFrame, least_bytes: int = LEAST_BYTES, date: str = DATE) -> DataFrame:
@@ -99,6 +133,16 @@ def parsed(archive: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
         at = stop + 4
 
 
+def _body(block: memoryview) -> int:
+    """Where the payload begins behind the HTTP header, of any length; 0 without one."""
+    size = 4096
+    while (at := bytes(block[:size]).find(b"\r\n\r\n")) < 0:
+        if size >= len(block):
+            return 0
+        size *= 4
+    return at + 4
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The headers of all records; length and digest are those of the payload that was read, and for revisits as told."""
 
@@ -110,15 +154,18 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 data = content.as_py()
                 rows = []
                 for head, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
-                    told, kind = head["warc-payload-digest"].removeprefix("sha256:"), head["warc-type"]
-                    start = bytes(block[:4096]).index(b"\r\n\r\n") + 4
+                    kind = head["warc-type"]
+                    if kind not in ("response", "revisit"):
+                        continue
+                    told = head.get("warc-payload-digest", "").removeprefix("sha256:") or None
+                    start = _body(block)
                     size, digest = len(block) - start, told
                     if kind == "response":
                         digest = hashlib.sha256(block[start:]).hexdigest()
-                        if digest != told:
+                        if told and digest != told:
                             raise ValueError(f"{head['warc-record-id']}: the payload has changed")
                     page = head.get("x-page-id")
-                    rows.append((int(page) if page else None, kind, head["warc-record-id"], head.get("warc-refers-to"), size if kind == "response" else None, digest, head["warc-target-uri"]))
+                    rows.append((int(page) if page else None, kind, head["warc-record-id"], head.get("warc-refers-to"), size if kind == "response" else None, digest, head.get("warc-target-uri")))
                 for i in range(0, len(rows), 10_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)], [f.split()[0] for f in HEADERS.split(", ")])
 

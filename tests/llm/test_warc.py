@@ -54,3 +54,21 @@ def test_binary_payload_survives(spark):
     raw = bytes(range(256)) * 3
     pages = spark.createDataFrame([(1, "u", raw), (2, "u", raw)], "page_id long, url string, html binary")
     assert {r[4] for r in got(warc.round_trip(pages))} == {hashlib.sha256(raw).hexdigest()}
+
+
+def test_beyond_the_broadcast_only_marked_payloads_move(spark):
+    rows = [(i, f"http://h/{i}", f"{i % 40} payload " * 30 if i % 3 else f"{i} alone " * 30) for i in range(300)] + [(None, "n", "1 payload " * 30), (400, "s", "short"), (401, "s", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    few, many = (sorted(map(tuple, warc.resolved(pages, repeated_rows=n).select("page_id", "uri", "payload", "bytes", "digest", "first.page_id", "first.uri").collect()), key=str) for n in (500, 0))
+    assert few == many and len(few) == len(rows) and sum(r[2] is None for r in few) > 100
+    marked = warc._may_repeat(warc._digested(pages), warc._digested(pages).filter("page_id = 7").select("digest"))
+    assert {r.page_id for r in marked.filter("maybe").collect()} == {r[0] for r in rows if r[2] == rows[7][2]}
+
+
+def test_long_headers_and_other_records_are_read(spark, tmp_path):
+    def record(kind, block, more=""):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{kind}>\r\nWARC-Target-URI: u\r\n{more}Content-Length: {len(block)}\r\n\r\n{block}\r\n\r\n"
+
+    (tmp_path / "part-0.warc").write_text(record("warcinfo", "software: x\r\n") + record("response", "HTTP/1.1 200 OK\r\nX: " + "y" * 20_000 + "\r\n\r\nbody"), newline="")
+    (row,) = warc.read_archives(spark, str(tmp_path)).collect()
+    assert (row.record_type, row.payload_bytes, row.payload_digest) == ("response", 4, hashlib.sha256(b"body").hexdigest())
