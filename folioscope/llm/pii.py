@@ -1,20 +1,24 @@
 """Format-preserving pseudonyms of personal values.
 
 A value is found by its pattern, validated (check digits, calendar, ranges), and permuted by a keyed Feistel network within
-its own format, so its length, separators and validity stay and equal values stay linked across documents, however they are
-written. The network F permutes [0, n) by walking cycles; the pseudonym of x is F^-1(F(x) + 1 mod n), which is a permutation
+its own format, so its length, separators and validity stay and equal values stay linked across documents, whatever stands
+between their digits; numbers of other lengths are other values, as 1.1.2020 and 01.01.2020 are. The network F permutes [0, n) by walking cycles; the pseudonym of x is F^-1(F(x) + 1 mod n), which is a permutation
 without fixed points, so no value stays. permuted(..., back=True) inverts it.
 
 Kinds: e-mail addresses (the part before @), payment cards (Luhn), IBANs (mod 97), phone numbers, IPv4 addresses, social
 security numbers, calendar dates from 1900 to 2099, access keys, hexadecimal secrets of 32 digits or more, and values after
 password=, token= and the like. Numbers that don't validate stay.
 
+The key is a secret: pseudonymized() takes it from the session's setting KEY_SETTING. A session without one draws a key of
+its own, so values stay linked within the session only and nobody can go back.
+
 Nulls stay null; whole texts of any length are read; other columns, repeated rows and empty tables pass through.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 from collections import Counter
 from collections.abc import Iterator
 from datetime import date
@@ -22,12 +26,14 @@ from functools import cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Only for tests and examples: a secret of the operator's own belongs here.
+#: Only for tests and examples of permuted().
 KEY = b"folioscope example key"
+KEY_SETTING = "spark.folioscope.pii.key"
+_drawn: dict[str, bytes] = {}
 ROUNDS = 8
 
 _PATTERNS = {
@@ -240,8 +246,19 @@ def permuted(text: str, key: bytes = KEY, back: bool = False, known: dict | None
     return _ALL.sub(new, text), found
 
 
-def pseudonymized(docs: DataFrame, key: bytes = KEY, back: bool = False, counts: str | None = None) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; it must have 16 bytes or more."""
+    told = spark.conf.get(KEY_SETTING, None)
+    if told is None:
+        return _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+    if len(told.encode()) < 16:
+        raise ValueError(f"{KEY_SETTING} has fewer than 16 bytes")
+    return told.encode()
+
+
+def pseudonymized(docs: DataFrame, key: bytes | None = None, back: bool = False, counts: str | None = None) -> DataFrame:
     """docs with pseudonyms in `text`; with `counts`, a column of that name says how many values of each kind were met."""
+    key = key_of(docs.sparkSession) if key is None else key
     docs = docs.withColumn("text", F.col("text").cast("string"))
     names, at = docs.columns, docs.columns.index("text")
 
