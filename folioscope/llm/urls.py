@@ -11,7 +11,7 @@ out. Repeated rows and urls keep their rows. Urls of any length: the expressions
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import checked_broadcast, own_prefix
@@ -55,11 +55,17 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return met.groupBy("url").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")).select("url", "best.rule", "best.verdict")
 
 
+def default_rules(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("verdict", "host", "path"), r, strict=True))) for r in RULES))))
+
+
 def judged(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAULT) -> DataFrame:
     """pages with host, path, rule and verdict; columns of these names are replaced."""
-    rules = rules if rules is not None else pages.sparkSession.createDataFrame(list(RULES), "verdict string, host string, path string")
+    rules = rules if rules is not None else default_rules(pages.sparkSession)
     own = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     p = own_prefix(pages)
     found = matches(pages.select("url").distinct(), rules).select(F.col("url").alias(p + "url"), F.col("rule").alias(p + "rule"), F.col("verdict").alias(p + "verdict"))
-    joined = pages.select(*own).join(found, F.col("url") == F.col(p + "url"), "left")
+    # Nulls meet nothing, and other keys spread them.
+    key = F.coalesce(F.col("url"), F.concat(F.lit("\0"), F.xxhash64(*own).cast("string")))
+    joined = pages.select(*own).join(found, key == F.col(p + "url"), "left")
     return joined.select(*own, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col(p + "rule").alias("rule"), F.coalesce(p + "verdict", F.lit(default)).alias("verdict"))

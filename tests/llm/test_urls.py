@@ -41,3 +41,11 @@ def test_any_rules_equal_brute_force(spark, pairs, data):
 def test_of_equal_rules_block_wins(spark):
     rules = spark.createDataFrame([("allow", "a", "/"), ("block", "a", "/")], "verdict string, host string, path string")
     assert urls.judged(spark.createDataFrame([(1, "http://a/")], "page_id long, url string"), rules).first().verdict == "block"
+
+
+def test_default_rules_start_no_python_worker(spark):
+    pages = spark.createDataFrame([(None if i % 2 else i, None if i % 3 else f"http://a.com/en/{i}") for i in range(300)], "page_id long, url string")
+    plan = urls.judged(spark.range(3).selectExpr("id AS page_id", "'http://a.com/en/' AS url"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "ExistingRDD" not in plan
+    assert urls.judged(pages).groupBy("verdict").count().collect() and urls.judged(pages).count() == 300
+    assert sorted(map(tuple, urls.default_rules(spark).select("verdict", "host", "path").collect())) == sorted(urls.RULES)
