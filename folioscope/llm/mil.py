@@ -11,7 +11,7 @@ of doc_id); scoring reads all passages of all documents.
 
 Nulls: a null or empty text is one passage of zeros, and scored like others; a null doc_id is never held out and has no
 label; null labels are left out, and several labels of a document are averaged. Without any label every score is 0.5.
-Repeated rows score alike; an empty table gives no rows.
+Of different texts of one labelled doc_id one trains. Repeated rows score alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ HASHED, HIDDEN, ATTENTION = 24, 24, 12
 KEEP = 0.7
 #: Passages whose gradients are computed at once; a document's are never parted.
 BLOCK = 8192
+#: Bytes of text that are encoded at once for scoring.
+BYTES_AT_ONCE = 1 << 20
 #: Words whose encodings a task keeps; it forgets all of them beyond that.
 CACHE = 400_000
 SHAPES = 10
@@ -220,8 +223,13 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score") -> DataFr
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Words()
         for b in batches:
-            for start in range(0, len(b), 256):
-                part = b.slice(start, 256)
+            # A few megabytes of text are encoded at a time, a document at least.
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(size // BYTES_AT_ONCE)) + 1).tolist(), len(b)]
+            for start, end in zip(cuts, cuts[1:], strict=False):
+                part = b.slice(start, end - start)
+                if not len(part):
+                    continue
                 texts = part.column(at).cast(pa.binary()).to_pylist()
                 got = model.scores([passages(t, cache) for t in texts]) if model else np.full(len(texts), 0.5)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got.astype(np.float64))], [*names, score])

@@ -25,7 +25,8 @@ def words(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(source, source_size, target) from sized (source, size). The windows run over one row a source, after partial sums."""
+    """(source, source_size, target) from sized (source, size). The windows run in one task, over one row of 60 bytes a source after
+    partial sums: for some ten million sources at most."""
     total = F.sum("source_size").over(Window.partitionBy())
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
