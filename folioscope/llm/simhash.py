@@ -38,7 +38,7 @@ BITS_AT_ONCE = 1 << 16
 SMALL = 32
 #: Rows of the distance matrix that is held at a time, by the anchor's members.
 MATRIX = 1 << 20
-#: A node's nearest links that leave a task besides those that join two trees.
+#: A node's nearest links that are confirmed besides those that join two trees.
 WIDE_LINKS = 6
 #: Links that a task holds before it chooses among them.
 PENDING = 200_000
@@ -224,35 +224,34 @@ class Forest:
 
 
 def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
-    """(a, b), a > b: for each task, links that connect the nodes that met at its anchors; many: besides, each node's nearest."""
+    """(a, b, d, tree): for each task, links that connect the nodes that met at its anchors (tree); many: besides, the nearest b of each a."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[tuple[int, int], int] = {}
-        kept = None
+        kept, fewest = None, 0
 
         def take(a: list[np.ndarray], b: list[np.ndarray], d: list[np.ndarray]) -> None:
             for x, y, near in zip(*(np.concatenate(c).tolist() for c in (a, b, d)), strict=True) if a else ():
                 met[max(x, y), min(x, y)] = near
-            if len(met) > PENDING + 2 * fewest[0]:
+            if len(met) > PENDING + 2 * fewest:
                 choose()
 
-        fewest = [0]
-
-        def choose() -> None:
-            """Of the links so far, the nearest first, those that join two trees; `many`: besides, those of an end that has few."""
-            tree, close, few = Forest(), Forest(), Counter()
-            chosen = {}
+        def choose() -> list[tuple[int, int, int, bool]]:
+            """Of the links so far, in order of distance, those that join two trees (b < a, True) and each node's nearest (False)."""
+            nonlocal fewest
+            tree, few, chosen = Forest(), Counter(), []
             for (x, y), d in sorted(met.items(), key=lambda m: (m[1], m[0])):
                 joins = tree.join(x, y)
-                if joins or many and close.root(x) != close.root(y) and (few[x] < WIDE_LINKS or few[y] < WIDE_LINKS):
-                    chosen[x, y] = d
-                    few[x] += 1
-                    few[y] += 1
-                    if d <= bits // 4:
-                        close.join(x, y)
+                if joins:
+                    chosen.append((x, y, d, True))
+                for p, q in ((x, y), (y, x)) if many else ():
+                    if few[p] < WIDE_LINKS:
+                        few[p] += 1
+                        chosen.append((p, q, d, False))
             met.clear()
-            met.update(chosen)
-            fewest[0] = len(met)
+            met.update({(max(x, y), min(x, y)): d for x, y, d, _ in chosen})
+            fewest = len(met)
+            return chosen
 
         def groups(key: np.ndarray, ids: np.ndarray, fs: list[np.ndarray]) -> None:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -286,12 +285,21 @@ def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
                 groups(now[0][:cut], now[1][:cut], [x[:cut].view(np.uint64) for x in now[2:]])
         if kept is not None:
             groups(kept[0], kept[1], [x.view(np.uint64) for x in kept[2:]])
-        choose()
-        out = list(met)
+        out = choose()
         for i in range(0, len(out), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([e[j] for e in out[i : i + 10_000]], pa.int64()) for j in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["a", "b", "d", "tree"])
+
+    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long, d int, tree boolean").distinct()
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
+
 
-    return sent.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
+def best_links(found: DataFrame) -> DataFrame:
+    """Of links(): those that join two trees, and each node's nearest of all tasks, which is chosen from a short list: it has met others at some tens of anchors."""
+    nearest = found.filter("NOT tree").groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, WIDE_LINKS).alias("n"))
+    return _pairs(found.filter("tree").select("a", "b").union(nearest.select("a", F.explode("n.b").alias("b"))))
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
@@ -354,10 +362,22 @@ def _components(own: DataFrame, k: int, bits: int, seeds: tuple[int, ...], block
     prints = staged(fingerprints(own, k, seeds), "fingerprints")
     nodes = staged(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
     # Of different texts under one doc_id each may be a node; they are one.
-    edges = staged(links(replicas(nodes, n, blocks), n, bits, least is not None).filter("a != b").distinct(), "links")
-    if least is not None:
-        edges = staged(confirmed(edges, own, k, least), "confirmed")
-    roots = staged(connected_components(edges), "roots")
+    found = links(replicas(nodes, n, blocks), n, bits, least is not None)
+    if least is None:
+        roots = staged(connected_components(_pairs(found)), "roots")
+    else:
+        found = staged(found, "links")
+        first = staged(best_links(found), "nearest")
+        edges = staged(confirmed(first, own, k, least), "confirmed")
+        roots = staged(connected_components(edges), "roots")
+        # Links that weren't among the nearest, between documents that have not come together.
+        of = checked_broadcast(roots, TWO_LONG_ROWS)
+        rest = _pairs(found).join(first, ["a", "b"], "left_anti")
+        for c in "ab":
+            rest = rest.join(of.select(F.col("node").alias(c), F.col("root").alias("root_" + c)), c, "left")
+        rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        again = staged(confirmed(staged(rest, "others"), own, k, least), "confirmed")
+        roots = staged(connected_components(edges.union(again)), "roots")
     of_print = nodes.join(checked_broadcast(roots, TWO_LONG_ROWS), "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
     return prints.join(checked_broadcast(staged(of_print, "components"), TWO_LONG_ROWS), names)
 
