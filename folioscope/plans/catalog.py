@@ -50,7 +50,7 @@ def clean_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.SLUGIFY_SOURCE)
 def slugify_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), F.substring("text", 1, 120).alias("s"))
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), F.col("text").alias("s"))
     p = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("k"), F.col("p_name").alias("s"))
     return d.unionByName(p).select("k", text.slug(F.col("s")).alias("slug"))
 
@@ -115,8 +115,8 @@ def _tokenised(lines: DataFrame) -> DataFrame:
 
 @query(sql.TOKENISE_WORDS)
 def tokenise_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs, the lines of the first pages of English documents as in the SQL, cut into words by glyph widths."""
-    return _tokenised(adapt.token_lines(table(spark, sf_dir, "documents").filter("lang = 'en'")).filter("page_number = 1"))
+    """Runs, the lines of all documents, cut into words by glyph widths."""
+    return _tokenised(adapt.token_lines(table(spark, sf_dir, "documents")))
 
 
 @query()
@@ -161,8 +161,8 @@ def _compacted(lines: DataFrame) -> DataFrame:
 
 @query(sql.COMPACT_WORDS)
 def compact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first pages, as in the SQL, made compact."""
-    return _compacted(adapt.lines(spark, sf_dir).filter("page_number = 1")).drop("page_number")
+    """Words of all pages, made compact."""
+    return _compacted(adapt.lines(spark, sf_dir))
 
 
 @query()
@@ -198,8 +198,8 @@ def _recognised(lines: DataFrame) -> DataFrame:
 
 @query(sql.LINE_WORDS)
 def recognised_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two lines of each document, as in the SQL, the first with character centres, as word boxes."""
-    return _recognised(adapt.token_lines(table(spark, sf_dir, "documents")).filter("page_number = 1 AND line < 2")).drop("page_number")
+    """All lines as word boxes; the first of each page has character centres."""
+    return _recognised(adapt.token_lines(table(spark, sf_dir, "documents")))
 
 
 @query()
@@ -446,8 +446,9 @@ def store_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.STATUSES)
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Known and unknown ids, in the order of the request."""
-    ids = spark.range(1, 401).select((F.col("id") * 7).alias("document_id"), F.col("id").alias("position"))
+    """All orders, and an unknown id after each, in the order of the request."""
+    key = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    ids = key.select(F.col("k").alias("document_id"), (2 * F.col("k")).alias("position")).unionByName(key.select((-1 - F.col("k")).alias("document_id"), (2 * F.col("k") + 1).alias("position")))
     marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
     s = status.statuses(ids, _order_documents(spark, sf_dir), adapt.order_pages(spark, sf_dir), marks)
     return s.select("document_id", "position", "ocr_status", "current_page", "total_pages", "n_highlights")

@@ -84,7 +84,7 @@ NORMALIZE_TOKEN = f"SELECT doc_id, md5({token_sql('text')}) AS token_md5 FROM do
 NORMALIZE_SEARCH = f"SELECT doc_id, length({search_sql('text')})::INT AS n, md5({search_sql('text')}) AS search_md5 FROM documents"
 CLEAN_REPORT_TEXT = f"SELECT doc_id, length(c)::INT AS n, md5(c) AS text_md5 FROM (SELECT doc_id, {cleaned('text')} AS c FROM documents)"
 _slug = r"regexp_replace(regexp_replace(lower(translate(strip_accents(s), 'əƏıİğĞşŞçÇöÖüÜ', 'eeiigGsScCoOuU')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
-SLUGIFY_SOURCE = f"""WITH t AS (SELECT 'd' || doc_id AS k, substr(text, 1, 120) AS s FROM documents UNION ALL SELECT 'p' || p_partkey, p_name FROM part)
+SLUGIFY_SOURCE = f"""WITH t AS (SELECT 'd' || doc_id AS k, text AS s FROM documents UNION ALL SELECT 'p' || p_partkey, p_name FROM part)
 SELECT k, coalesce(nullif(regexp_replace(substr({_slug}, 1, 60), '-+$', ''), ''), 'item') AS slug FROM t"""
 FALLBACK_TITLE = rf"""WITH l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS k FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS a FROM documents)),
 c AS (SELECT doc_id, k, {cleaned('line', 250)} AS title FROM l), f AS (SELECT doc_id, arg_min(title, k) AS title FROM c WHERE length(title) >= 3 AND regexp_matches(title, '\p{{L}}') GROUP BY doc_id)
@@ -104,7 +104,7 @@ SELECT doc_id,
   strftime(coalesce(day, DATE '2024-01-31'), '%d.%m.%Y') AS date_text, strftime(coalesce(day, DATE '2024-01-31'), '%Y-%m-%d') AS iso_date, day IS NOT NULL AS from_name,
   CASE WHEN k = 2 THEN source || '_notes.pdf' WHEN k = 3 THEN lpad(d::VARCHAR, 2, '0') || '-' || lpad(m::VARCHAR, 2, '0') || '.2024 ' || source || '.pdf'
     ELSE 'My_' || source || '_' || lpad(d::VARCHAR, 2, '0') || '.' || lpad(m::VARCHAR, 2, '0') || '.2024.pdf' END AS viewer_name FROM u"""
-TOKENISE_WORDS = f"""WITH {words()}, chosen AS (SELECT w.* FROM words w JOIN documents d USING (doc_id) WHERE d.lang = 'en' AND page_number = 1),
+TOKENISE_WORDS = f"""WITH {words()}, chosen AS (SELECT * FROM words),
 chars AS (SELECT document_id, page_number, line, i, text, unnest(string_split(text, '')) AS c FROM chosen),
 wide AS (SELECT document_id, page_number, line, i, text, sum({width('c')}) AS w FROM chars GROUP BY ALL),
 runs AS (SELECT *, sum(w) OVER l + 0.32::DOUBLE * i - w AS a, sum(w) OVER l + 0.32::DOUBLE * i AS b, sum(w) OVER (PARTITION BY document_id, page_number, line) + 0.32::DOUBLE * max(i) OVER (PARTITION BY document_id, page_number, line) AS total
@@ -118,13 +118,13 @@ LINE_BOXES = f"WITH {words()} SELECT document_id, page_number, line, round(min(x
 GUTTER_SEGMENTS = f"""WITH {words()}, g AS (SELECT *, CASE WHEN x - lag(x + width) OVER l > greatest(avg(height) OVER (PARTITION BY document_id, page_number, line) * 2.5, 0.02) THEN 1 ELSE 0 END AS cut FROM words WINDOW l AS (PARTITION BY document_id, page_number, line ORDER BY x, i)),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY document_id, page_number, line ORDER BY x, i)::INT AS segment FROM g)
 SELECT document_id, page_number, line, segment, count(*)::INT AS n_words, string_agg(text, ' ' ORDER BY x, i) AS text FROM s GROUP BY document_id, page_number, line, segment"""
-COMPACT_WORDS = f"""WITH {words()}, f AS (SELECT *, x / 3 AS x3 FROM words WHERE page_number = 1)
-SELECT document_id, line, floor(first(x3) OVER l * 1e5 + 0.5) / 1e5 <> first(x3) OVER l AS needed, 'w' || i AS id, floor(confidence - 0.5 + 0.5)::INT AS confidence, round(floor(x3 * 1e5 + 0.5) / 1e5, 6) AS x, 'l' || (i % 2) AS line_id
-FROM f WINDOW l AS (PARTITION BY document_id, line ORDER BY i)"""
-LINE_WORDS = f"""WITH {words()}, f AS (SELECT *, length(text) AS n, sum(length(text)) OVER (PARTITION BY document_id, line ORDER BY i) + i - length(text) AS a, sum(length(text)) OVER (PARTITION BY document_id, line) + max(i) OVER (PARTITION BY document_id, line) AS total
-  FROM words WHERE page_number = 1 AND line < 2), e AS (SELECT *, (a + n)::DOUBLE AS b FROM f),
-g AS (SELECT *, CASE WHEN line = 1 OR a > 0 OR n > 1 THEN a / total ELSE 0.5 / total END AS s, CASE WHEN line = 1 OR b < total OR n > 1 THEN b / total ELSE (b - 0.5) / total END AS t FROM e)
-SELECT document_id, line AS line_index, i AS token_index, text, round(0.1 + 0.8 * s, 6) AS x, round(greatest(0.8 * (t - s), 0.0005), 6) AS width FROM g"""
+COMPACT_WORDS = f"""WITH {words()}, f AS (SELECT *, x / 3 AS x3 FROM words)
+SELECT document_id, page_number, line, floor(first(x3) OVER l * 1e5 + 0.5) / 1e5 <> first(x3) OVER l AS needed, 'w' || i AS id, floor(confidence - 0.5 + 0.5)::INT AS confidence, round(floor(x3 * 1e5 + 0.5) / 1e5, 6) AS x, 'l' || (i % 2) AS line_id
+FROM f WINDOW l AS (PARTITION BY document_id, page_number, line ORDER BY i)"""
+LINE_WORDS = f"""WITH {words()}, f AS (SELECT *, length(text) AS n, sum(length(text)) OVER (PARTITION BY document_id, page_number, line ORDER BY i) + i - length(text) AS a, sum(length(text)) OVER (PARTITION BY document_id, page_number, line) + max(i) OVER (PARTITION BY document_id, page_number, line) AS total
+  FROM words), e AS (SELECT *, (a + n)::DOUBLE AS b FROM f),
+g AS (SELECT *, CASE WHEN line > 0 OR a > 0 OR n > 1 THEN a / total ELSE 0.5 / total END AS s, CASE WHEN line > 0 OR b < total OR n > 1 THEN b / total ELSE (b - 0.5) / total END AS t FROM e)
+SELECT document_id, page_number, line AS line_index, i AS token_index, text, round(0.1 + 0.8 * s, 6) AS x, round(greatest(0.8 * (t - s), 0.0005), 6) AS width FROM g"""
 
 _judged = rf"length(text) > 1 AND NOT regexp_matches(text, '(?i)^(https?:|www\.)|\.(az|com|org|net|ru|tr)($|[^0-9A-Za-z_])') AND NOT regexp_matches(text, '^(\p{{Lu}}\.){{1,3}}\p{{Lu}}')"
 _suspect = r"regexp_matches(text, '\p{Ll}[A-Z]|\p{L}[0-9]\p{L}')"
@@ -217,7 +217,7 @@ FROM alldocs a LEFT JOIN totals USING (document_id) LEFT JOIN waits USING (docum
 STORE_STATS = "SELECT 'documents' AS name, count(*) AS n FROM orders UNION ALL SELECT 'pages', count(*) FROM lineitem UNION ALL SELECT 'highlights', count(*) FROM labels"
 STATUSES = f"""WITH {_ORDERS}, totals AS (SELECT document_id, count(*) AS total, count(*) FILTER (status IN ('COMPLETE', 'FAILED')) AS done FROM opages GROUP BY document_id),
 waits AS (SELECT document_id, row_number() OVER (ORDER BY document_id) AS q FROM odocs WHERE ocr_status IN ('PENDING', 'PROCESSING') AND document_id NOT IN (SELECT document_id FROM totals)),
-ids AS (SELECT range * 7 AS document_id, range AS position FROM range(1, 401)), marks AS (SELECT doc_id AS document_id, count(*) AS n FROM labels GROUP BY doc_id)
+ids AS (SELECT o_orderkey AS document_id, 2 * o_orderkey AS position FROM orders UNION ALL SELECT -1 - o_orderkey, 2 * o_orderkey + 1 FROM orders), marks AS (SELECT doc_id AS document_id, count(*) AS n FROM labels GROUP BY doc_id)
 SELECT i.document_id, i.position, o.ocr_status, CASE WHEN done < total THEN done WHEN q IS NOT NULL THEN 0 END::BIGINT AS current_page, CASE WHEN done < total THEN total WHEN q IS NOT NULL THEN 0 END::BIGINT AS total_pages, coalesce(m.n, 0)::BIGINT AS n_highlights
 FROM ids i JOIN odocs o USING (document_id) LEFT JOIN totals USING (document_id) LEFT JOIN waits USING (document_id) LEFT JOIN marks m USING (document_id)"""
 _trim = lambda c: f"regexp_replace({c}, '^[{WS}]+|[{WS}]+$', '', 'g')"
