@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -10,6 +10,21 @@ ATTEMPTS, STALE_SECONDS, PREPARE_BATCH, RETAINED, MESSAGE = 3, 600, 10, 200, 100
 LOST = "The reader for this page stopped before it finished, and no attempts were left."
 SPENT = "This page ran out of attempts."
 OUTSTANDING = ("PENDING", "PROCESSING")
+#: Bits of the upload numbers that are numbered in one task.
+RANGE_BITS = 20
+
+
+def numbered(documents: DataFrame, name: str) -> DataFrame:
+    """documents with their place, from 1, in the order of upload_seq and document_id.
+
+    Upload numbers are given one by one, so a range of 2^20 of them holds a bounded number of documents. Ranges are numbered
+    apart, after the documents of lower ranges; the only window over everything is over one row a range.
+    """
+    ranged = documents.withColumn("__range", F.coalesce(F.shiftright(F.col("upload_seq").cast("long"), RANGE_BITS), F.lit(-(1 << 44))))
+    lower = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy("upload_seq", "document_id"))
+    return ranged.withColumn("__own", own).join(before, "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__before", "__own")
 
 
 def claimable(pages: DataFrame, documents: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
@@ -105,12 +120,12 @@ def delete_documents(documents: DataFrame, pages: DataFrame, highlights: DataFra
 def overflow(documents: DataFrame, pages: DataFrame, retained: int = RETAINED) -> DataFrame:
     """The oldest settled documents, without a page at work, that exceed the number retained.
 
-    The count is one small action, so that the choice is a top-k and not a numbering of all documents in one task.
+    The count is one small action. Places are numbered by ranges, so nothing passes through one task however many go.
     """
     over = max(0, documents.count() - retained)
     busy = pages.filter("status = 'PROCESSING'").select("document_id").distinct()
     settled = documents.filter(F.col("ocr_status").isin("COMPLETE", "FAILED")).join(busy, "document_id", "left_anti")
-    return settled.orderBy("upload_seq", "document_id").limit(over)
+    return numbered(settled, "__place").filter(F.col("__place") <= over).drop("__place")
 
 
 def live_only(results: DataFrame, pages: DataFrame) -> DataFrame:

@@ -71,7 +71,11 @@ def _highlights(hits: DataFrame) -> DataFrame:
 
 
 def search(lines: DataFrame, keywords: DataFrame) -> DataFrame:
-    """A highlight for every match of each keyword (keyword_id, keyword) in the lines (LINES)."""
+    """A highlight for every match of each keyword (keyword_id, keyword) in the lines (LINES).
+
+    A column `text` of the lines, if there is one, holds the texts of their words, spaces between; lines that can't match are
+    then left out before their words are looked at or even placed.
+    """
     wanted = needles(keywords).select("keyword_id", "keyword", "needle")
     some = wanted.limit(LITERAL + 1).collect()
     if not some:
@@ -80,7 +84,7 @@ def search(lines: DataFrame, keywords: DataFrame) -> DataFrame:
     if len(some) <= LITERAL:
         texts = F.array(*map(F.lit, sorted({r.needle for r in some})))
         # One cheap test of the whole line before its words are looked at.
-        rough = normalize_for_search(F.array_join(F.transform("words", lambda w: w["text"]), " "))
+        rough = normalize_for_search(F.col("text") if "text" in lines.columns else F.array_join(F.transform("words", lambda w: w["text"]), " "))
         hit = lines.withColumn("__needles", let(rough, lambda r: F.filter(texts, lambda n: F.contains(r, n)))).filter(F.size("__needles") > 0)
         hit = flattened(hit).select("*", F.explode("__needles").alias("__needle"))
         hit = hit.select("*", F.explode(_matches(F.col("search_text"), F.col("flat"), F.col("__needle"))).alias("m"))
@@ -93,9 +97,10 @@ def _span_join(lines: DataFrame, wanted: DataFrame) -> DataFrame:
     most = wanted.agg(F.max(F.length("needle"))).first()[0]
     flat = F.col("flat")
     spans = F.flatten(F.transform(flat, lambda f: F.transform(F.filter(flat, lambda g: (g["i"] >= f["i"]) & ~f["before"] & ~g["after"] & (g["end"] - f["start"] <= most)), lambda g: F.substring(F.col("search_text"), f["start"] + 1, g["end"] - f["start"]))))
-    rows = flattened(lines).select("*", F.explode(F.array_distinct(spans)).alias("__span"))
-    hit = rows.join(wanted, F.col("__span") == F.col("needle"))
-    return hit.select("*", F.explode(_matches(F.col("search_text"), F.col("flat"), F.col("needle"))).alias("m"))
+    # Only a line's key moves with its spans; the words are joined back to the lines that hit.
+    key = ["document_id", "page_number", "line"]
+    met = flattened(lines).select(*key, F.explode(F.array_distinct(spans)).alias("needle")).distinct().join(wanted, "needle")
+    return flattened(lines).join(met, key).select("*", F.explode(_matches(F.col("search_text"), F.col("flat"), F.col("needle"))).alias("m"))
 
 
 def candidate_pages(pages: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -111,14 +116,24 @@ def candidate_pages(pages: DataFrame, keywords: DataFrame) -> DataFrame:
 
 
 def _by_trigrams(pages: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Semi-join on one trigram of each needle, confirmed by contains; shorter needles are tested one by one."""
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("search_text") - 2)), lambda i: F.substring("search_text", i, 3)))
-    long = wanted.filter("length(needle) >= 3").withColumn("gram", F.substring("needle", 1, 3))
+    """Pages that hold a needle (wanted: needle) or have no search text.
+
+    Of each needle the trigram that the fewest pages have is looked up, so a common beginning is no hot key. Pages send their
+    keys (document_id, page_number) with their trigrams, no texts; what meets is confirmed by contains on the page's own row.
+    Shorter needles are tested one by one.
+    """
+    key = ["document_id", "page_number"]
+    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.col(c), i, 3)))
     short = [r.needle for r in wanted.filter("length(needle) < 3").collect()]  # of two characters at most, so few
-    rows = pages.select("*", F.monotonically_increasing_id().alias("__row"))
-    met = rows.select("__row", "search_text", F.explode(grams).alias("gram")).join(long, "gram").filter(F.contains("search_text", "needle")).select("__row").distinct()
+    asked = wanted.filter("length(needle) >= 3").select("needle", F.explode(grams("needle")).alias("gram"))
+    held = pages.select(*key, F.explode(grams("search_text")).alias("gram"))
+    often = held.join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # A needle with a trigram that no page has is found nowhere.
+    rarest = asked.join(often, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0").select("needle", F.col("r.gram").alias("gram"))
+    met = held.join(rarest, "gram").groupBy(*key).agg(F.collect_set("needle").alias("__needles"))
+    hit = F.exists(F.coalesce("__needles", F.array().cast("array<string>")), lambda n: F.contains("search_text", n))
     direct = F.exists(F.array(*map(F.lit, short)), lambda n: F.contains("search_text", n)) if short else F.lit(False)
-    return rows.join(met.withColumn("__met", F.lit(True)), "__row", "left").filter((F.col("search_text") == "") | F.col("__met") | direct).drop("__row", "__met")
+    return pages.join(met, key, "left").filter((F.col("search_text") == "") | hit | direct).select(*pages.columns)
 
 
 def searched_documents(documents: DataFrame, ids: DataFrame, keywords: DataFrame, highlights: DataFrame) -> DataFrame:

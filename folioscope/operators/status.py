@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions.text import line_key, trimmed
-from folioscope.operators.queue import OUTSTANDING
+from folioscope.operators.queue import OUTSTANDING, numbered
 
 STALLED_SECONDS = 120
 
@@ -52,7 +52,7 @@ def progress(ids: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFram
     """
     of = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status").isin("COMPLETE", "FAILED")).alias("done"))
     waiting = documents.filter(F.col("ocr_status").isin(*OUTSTANDING)).join(of.select("document_id"), "document_id", "left_anti")
-    waiting = waiting.select("document_id", F.row_number().over(Window.orderBy("upload_seq", "document_id")).cast("long").alias("queue_position"))
+    waiting = numbered(waiting.select("document_id", "upload_seq"), "queue_position").select("document_id", "queue_position")
     rows = ids.join(of, "document_id", "left").join(waiting, "document_id", "left")
     open_ = F.col("done") < F.col("total")
     waits = F.col("queue_position").isNotNull()

@@ -70,9 +70,8 @@ def fallback_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.UNREADABLE_RATIO)
 def unreadable_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapt.damaged(table(spark, sf_dir, "documents"))
-    tokens = F.regexp_extract_all("text", F.lit(adapt.WORD), F.lit(0))
-    return docs.select("doc_id", F.round(quality.unreadable_ratio(tokens), 6).alias("ratio"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", adapt.damaged_tokens().alias("tokens"))
+    return docs.select("doc_id", F.round(quality.unreadable_ratio(F.col("tokens")), 6).alias("ratio"))
 
 
 @query(sql.LEGACY_DETECT)
@@ -171,7 +170,7 @@ def compact_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compacted(adapt.lines(spark, sf_dir))
 
 
-@query()
+@query(sql.ROW_GROUPING)
 def row_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of each page, shaken, as rows of text."""
     lines = adapt.lines(spark, sf_dir)
@@ -208,7 +207,7 @@ def recognised_line_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recognised(adapt.token_lines(table(spark, sf_dir, "documents")))
 
 
-@query()
+@query(sql.CTC_COLLAPSE)
 def ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index arrays made of part names, collapsed to text."""
     letters = "abcdefghijklmnopqrstuvwxyz "
@@ -223,9 +222,7 @@ def ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _damaged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = adapt.placed(adapt.token_lines(adapt.damaged(table(spark, sf_dir, "documents"))))
-    rows = lines.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("line", "words"))).alias("l"))
-    return rows.select("document_id", "page_number", F.flatten(F.transform("l", lambda x: x["words"])).alias("words"))
+    return adapt.placed_pages(table(spark, sf_dir, "documents"), adapt.damaged_tokens())
 
 
 @query(sql.BROKEN_ENCODING)
@@ -265,10 +262,8 @@ def render_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with search text, without a shuffle: slices of the documents' words."""
-    size = adapt.LINE * adapt.PAGE_LINES
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(adapt.WORD), F.lit(0)).alias("t")).filter(F.size("t") > 0)
-    p = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / size).cast("int")), lambda g: F.array_join(F.slice("t", g * size + 1, size), " "))).alias("g", "text"))
-    return p.select("document_id", (F.col("g") + 1).alias("page_number"), F.lit("COMPLETE").alias("status"), text.normalize_for_search(F.col("text")).alias("search_text"))
+    p = adapt.page_slices(table(spark, sf_dir, "documents"), F.regexp_extract_all("text", F.lit(adapt.WORD), F.lit(0)))
+    return p.select("document_id", "page_number", F.lit("COMPLETE").alias("status"), text.normalize_for_search(F.array_join("tokens", " ")).alias("search_text"))
 
 
 @query(sql.SEARCH_PAGE_HITS)

@@ -126,6 +126,12 @@ LINE_WORDS = f"""WITH {words()}, f AS (SELECT *, length(text) AS n, sum(length(t
 g AS (SELECT *, CASE WHEN line > 0 OR a > 0 OR n > 1 THEN a / total ELSE 0.5 / total END AS s, CASE WHEN line > 0 OR b < total OR n > 1 THEN b / total ELSE (b - 0.5) / total END AS t FROM e)
 SELECT document_id, page_number, line AS line_index, i AS token_index, text, round(0.1 + 0.8 * s, 6) AS x, round(greatest(0.8 * (t - s), 0.0005), 6) AS width FROM g"""
 
+ROW_GROUPING = f"""WITH {words()}, t AS (SELECT *, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') AS s FROM words),
+r AS (SELECT document_id, page_number, line, coalesce(string_agg(s, ' ' ORDER BY x, pos % 3, pos) FILTER (s <> ''), '') AS s FROM t GROUP BY ALL)
+SELECT document_id, page_number, count(*)::INT AS n_rows, coalesce(string_agg(s, chr(10) ORDER BY line) FILTER (s <> ''), '') AS text FROM r GROUP BY document_id, page_number"""
+CTC_COLLAPSE = """SELECT p_partkey, trim(x) AS text, CASE WHEN x <> '' THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS score, length(trim(x))::INT AS n_offsets
+FROM (SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z ]', '', 'g') AS x FROM part)"""
+
 _judged = rf"length(text) > 1 AND NOT regexp_matches(text, '(?i)^(https?:|www\.)|\.(az|com|org|net|ru|tr)($|[^0-9A-Za-z_])') AND NOT regexp_matches(text, '^(\p{{Lu}}\.){{1,3}}\p{{Lu}}')"
 _suspect = r"regexp_matches(text, '\p{Ll}[A-Z]|\p{L}[0-9]\p{L}')"
 _size = r"length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))"

@@ -22,42 +22,64 @@ def _lines_of(tokens: Column) -> Column:
 
 
 def token_lines(docs: DataFrame, text: Column | None = None) -> DataFrame:
-    """document_id, page_number, line, tokens, after_dash (the line before, on the page, ends with a dash)."""
-    docs = docs.select("doc_id", F.regexp_extract_all(F.col("text") if text is None else text, F.lit(WORD), F.lit(0)).alias("tokens")).filter(F.size("tokens") > 0)
-    rows = docs.select("doc_id", F.explode(_lines_of(F.col("tokens"))).alias("l"))
+    """document_id, page_number, line, tokens, after_dash (the line before, on the page, ends with a dash).
+
+    The outer explode keeps the optimizer from testing the array's size first, which would cut each text into words twice.
+    """
+    docs = docs.select("doc_id", F.regexp_extract_all(F.col("text") if text is None else text, F.lit(WORD), F.lit(0)).alias("tokens"))
+    rows = docs.select("doc_id", F.explode_outer(F.when(F.size("tokens") > 0, _lines_of(F.col("tokens")))).alias("l")).filter("l IS NOT NULL")
     return rows.select("doc_id", F.col("doc_id").cast("string").alias("document_id"), (F.floor(F.col("l.g") / PAGE_LINES) + 1).cast("int").alias("page_number"), (F.col("l.g") % PAGE_LINES).alias("line"), F.col("l.t").alias("tokens"), F.col("l.after_dash").alias("after_dash"))
 
 
-def placed(lines: DataFrame) -> DataFrame:
-    """token_lines with boxes: schema LINES."""
-    tokens = F.col("tokens")
+def _words(tokens: Column, page_number: Column, line: Column) -> Column:
+    """The tokens of a line with places, confidences and boxes."""
 
     def word(t: Column, i: Column) -> Column:
         before = F.aggregate(F.slice(tokens, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
         gutter = F.when((i >= 6) & (F.col("doc_id") % 2 == 0), 800).otherwise(0)
-        pos = ((F.col("page_number") - 1) * PAGE_LINES + F.col("line")) * LINE + i
+        pos = ((page_number - 1) * PAGE_LINES + line) * LINE + i
         return F.struct(
             pos.cast("int").alias("pos"), t.alias("text"), (F.lit(100) - pos % 40).cast("double").alias("confidence"),
             F.least(F.lit(1.0), (before * 15 + i * 50 + gutter) / F.lit(10000.0)).alias("x"),
-            ((F.col("line") * 450 + 400) / F.lit(10000.0)).alias("y"),
+            ((line * 450 + 400) / F.lit(10000.0)).alias("y"),
             F.least(F.lit(1.0), F.length(t) * 15 / F.lit(10000.0)).alias("width"),
-            (F.when(F.col("line").isin(0, 10), 300).otherwise(200) / F.lit(10000.0)).alias("height"),
+            (F.when(line.isin(0, 10), 300).otherwise(200) / F.lit(10000.0)).alias("height"),
         )
 
-    return lines.select("document_id", "page_number", "line", F.transform(tokens, word).alias("words"), "after_dash")
+    return F.transform(tokens, word)
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """token_lines with boxes: schema LINES, and the line's text."""
+    return lines.select("document_id", "page_number", "line", _words(F.col("tokens"), F.col("page_number"), F.col("line")).alias("words"), "after_dash", F.array_join("tokens", " ").alias("text"))
+
+
+def page_slices(docs: DataFrame, tokens: Column) -> DataFrame:
+    """doc_id, document_id, page_number, tokens: a row for each page, a slice of the document's words."""
+    size = LINE * PAGE_LINES
+    docs = docs.select("doc_id", tokens.alias("t"))
+    pages = F.transform(F.sequence(F.lit(0), F.floor((F.size("t") - 1) / size).cast("int")), lambda g: F.slice("t", g * size + 1, size))
+    rows = docs.select("doc_id", F.posexplode_outer(F.when(F.size("t") > 0, pages)).alias("g", "tokens")).filter("tokens IS NOT NULL")
+    return rows.select("doc_id", F.col("doc_id").cast("string").alias("document_id"), (F.col("g") + 1).alias("page_number"), "tokens")
+
+
+def placed_pages(docs: DataFrame, tokens: Column) -> DataFrame:
+    """document_id, page_number, words: each page's positioned words, line after line, without a shuffle."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size("tokens") - 1) / LINE).cast("int"))
+    words = F.flatten(F.transform(numbers, lambda n: _words(F.slice("tokens", n * LINE + 1, LINE), F.col("page_number"), n)))
+    return page_slices(docs, tokens).select("document_id", "page_number", words.alias("words"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(token_lines(table(spark, sf_dir, "documents")))
 
 
-def damaged(docs: DataFrame) -> DataFrame:
-    """documents with faults put in: broken capitals (ids divisible by 7), split words (11), private-use characters (5)."""
+def damaged_tokens() -> Column:
+    """The words of documents with faults put in: broken capitals (ids divisible by 7), split words (11), private-use characters (5)."""
     tokens = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     broken = F.transform(tokens, lambda t, i: F.when((F.col("doc_id") % 7 == 0) & (i % 10 == 0) & (F.length(t) >= 3), F.concat(F.substring(t, 1, 2), F.lit("X"), F.substring(t, F.lit(4), F.length(t)))).otherwise(t))
     split = F.transform(broken, lambda t: F.when(F.col("doc_id") % 11 == 0, F.substring(t, 1, 2)).otherwise(t))
-    private = F.transform(split, lambda t, i: F.when((F.col("doc_id") % 5 == 0) & (i % 9 == 0), F.concat(t, F.lit("\ue000"))).otherwise(t))
-    return docs.withColumn("text", F.array_join(private, " "))
+    return F.transform(split, lambda t, i: F.when((F.col("doc_id") % 5 == 0) & (i % 9 == 0), F.concat(t, F.lit("\ue000"))).otherwise(t))
 
 
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

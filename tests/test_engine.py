@@ -94,6 +94,24 @@ def test_candidate_pages(spark):
     assert {r.document_id for r in search.candidate_pages(pages, many).collect()} == {"a", "b"}
 
 
+def test_trigrams_equal_the_plain_way(spark):
+    rng = random.Random(8)
+    rows = [(f"d{n % 40}", n // 40, "COMPLETE", "".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 3, 9, 60]))) if n % 50 else None) for n in range(400)]
+    pages = spark.createDataFrame(rows, "document_id string, page_number int, status string, search_text string")
+    needles = ["c", "abc", "abcabc", "bbbbb", "cabac", "xyz", "abx"]
+    wanted = spark.createDataFrame([(n,) for n in needles], "needle string")
+    got = {(r.document_id, r.page_number) for r in search._by_trigrams(pages, wanted.filter("needle <> 'c'")).collect()}
+    assert got == {r[:2] for r in rows if r[3] is not None and (not r[3] or any(n in r[3] for n in needles[1:]))}
+    assert {(r.document_id, r.page_number) for r in search._by_trigrams(pages, wanted).collect()} == {r[:2] for r in rows if r[3] is not None and (not r[3] or any(n in r[3] for n in needles))}
+
+
+def test_places_are_numbered_by_ranges(spark):
+    rows = [(i, seq) for i, seq in enumerate([5, None, 1 << 21, (1 << 21) + 1, 1 << 40, 3, 3, -7, (1 << 20) - 1, 1 << 20])]
+    got = queue.numbered(spark.createDataFrame(rows, "document_id int, upload_seq long"), "place").collect()
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
+    assert [r.document_id for r in sorted(got, key=lambda r: r.place)] == [r[0] for r in want] and sorted(r.place for r in got) == list(range(1, 11))
+
+
 def test_stored_highlights(spark):
     stored = spark.createDataFrame([("d", "MANUAL", "m"), ("d", "AUTO", "old"), ("e", "AUTO", "old")], "document_id string, source string, keyword string")
     new = spark.createDataFrame([("d", "AUTO", "new"), ("e", "AUTO", "late")], stored.schema)
