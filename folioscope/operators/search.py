@@ -119,10 +119,10 @@ def _by_trigrams(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Pages that hold a needle (wanted: needle) or have no search text.
 
     Of each needle the trigram that the fewest pages have is looked up, so a common beginning is no hot key. Pages send their
-    keys (document_id, page_number) with their trigrams, no texts; what meets is confirmed by contains on the page's own row.
+    keys (document_id and, if there is one, page_number) with their trigrams, no texts; what meets is confirmed by contains on the page's own row.
     Shorter needles are tested one by one.
     """
-    key = ["document_id", "page_number"]
+    key = [c for c in ("document_id", "page_number") if c in pages.columns]
     grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(F.col(c), i, 3)))
     short = [r.needle for r in wanted.filter("length(needle) < 3").collect()]  # of two characters at most, so few
     asked = wanted.filter("length(needle) >= 3").select("needle", F.explode(grams("needle")).alias("gram"))
