@@ -128,6 +128,35 @@ def test_confirmed_links_equal_exact_similarity(spark):
     assert all(got[i] in (i, i - i % 2) for i in range(len(texts)))
 
 
+def test_set_fingerprints_equal_counted_bits():
+    rng = random.Random(14)
+    for n in (0, 1, 4, 7, 300, 9000):
+        text = " ".join(f"Word{rng.randrange(4000)}" for _ in range(n))
+        text += " " + text
+        hashes = [int(h) for h in simhash.shingles(text.encode(), 5)]
+        got = simhash.set_simhash(text.encode(), 5, 3).tolist()
+        drawn = [[int(x) for x in simhash.mixed_bits(np.array(hashes, np.uint64), i)] for i in range(3)]
+        assert got == [sum((2 * sum(x >> b & 1 for x in own) > len(hashes)) << b for b in range(64)) for own in drawn]
+    assert simhash.set_simhash(None, 5, 3).tolist() == [0, 0, 0]
+
+
+def test_bits_of_sets_keep_similarities_of_eight_tenths():
+    """Sets at 0.8 or just above, small and large: candidates; sets at 0.5: not."""
+    rng = np.random.default_rng(15)
+
+    def print_of(hashes):
+        ones = np.concatenate([np.unpackbits(simhash.mixed_bits(hashes, i)[:, None].view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(simhash.WORDS)])
+        return 2 * ones > len(hashes)
+
+    def far(common, a, b):
+        x, y, z = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (common, a, b))
+        return int((print_of(np.concatenate([x, y])) != print_of(np.concatenate([x, z]))).sum())
+
+    near = [far(*sizes) <= simhash.SET_BITS for sizes in ((8, 1, 1), (12, 0, 3), (12, 1, 2), (20, 2, 3), (80, 10, 10), (400, 0, 100), (800, 100, 100)) for _ in range(100)]
+    assert np.mean(near) >= 0.995
+    assert not any(far(200, 100, 100) <= simhash.SET_BITS for _ in range(100))
+
+
 def test_nearly_all_of_a_large_family_go(spark):
     """Two hundred copies with a few changes each: every one has a partner at 0.8 or more, which may not be among its nearest by fingerprint."""
     rng = random.Random(13)
