@@ -45,7 +45,7 @@ SET_AT_ONCE = 1 << 12
 SMALL = 32
 #: Rows of the distance matrix that is held at a time, by the anchor's members.
 MATRIX = 1 << 20
-#: A node's nearest links that are confirmed besides those that join two trees.
+#: A node's nearest links that are confirmed first; of the others, those that join two trees too, only what is still apart.
 WIDE_LINKS = 6
 #: Links that a task holds before it chooses among them.
 PENDING = 200_000
@@ -327,9 +327,9 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def best_links(found: DataFrame) -> DataFrame:
-    """Of links(): those that join two trees, and each node's nearest of all tasks, which is chosen from a short list: it has met others at some tens of anchors."""
+    """Of links(): each node's nearest of all tasks, which is chosen from a short list: it has met others at some tens of anchors."""
     nearest = found.filter("NOT tree").groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, WIDE_LINKS).alias("n"))
-    return _pairs(found.filter("tree").select("a", "b").union(nearest.select("a", F.explode("n.b").alias("b"))))
+    return _pairs(nearest.select("a", F.explode("n.b").alias("b")))
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:
