@@ -123,10 +123,13 @@ def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.best_readings(r).select("document_id", "box_id", "text", F.round("score", 6).alias("score"))
 
 
-_BREVE = r"'([^\P{L}aeiouəıöüAEIOUƏIİÖÜ])ğ([^\P{L}aeiouəıöüAEIOUƏIİÖÜ])', '\1ü\2', 'g'"
+_CONSONANT = r"'^[^\P{L}aeiouəıöüAEIOUƏIİÖÜ]$'"
+#: From left to right: what is before a letter is taken as it has become, what follows as it was.
+_BREVE = f"""list_reduce(list_transform(range(1, length(w) + 1), lambda i: CASE WHEN i = 1 THEN substr(w, 1, 1) ELSE substr(w, i, 2) END),
+  lambda a, x: a || CASE WHEN x[1] IN ('ğ', 'Ğ') AND regexp_matches(x[2:2], {_CONSONANT}) AND regexp_matches(a[-1:], {_CONSONANT}) THEN translate(x[1], 'ğĞ', 'üÜ') ELSE x[1] END)"""
 
 
-@query(f"SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, 'u', 'ğ'), {_BREVE}), {_BREVE})) AS text_md5 FROM documents")
+@query(f"""SELECT doc_id, md5(array_to_string(list_transform(string_split(replace(text, 'u', 'ğ'), ' '), lambda w: CASE WHEN contains(w, 'ğ') OR contains(w, 'Ğ') THEN {_BREVE} ELSE w END), ' ')) AS text_md5 FROM documents""")
 def breve_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts whose u was read as a breve g, word by word: the rule looks at neighbouring letters only."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(F.transform(F.split(F.translate("text", "u", "ğ"), " "), repair.umlauts), " ").cast("binary")).alias("text_md5"))

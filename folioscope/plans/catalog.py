@@ -55,14 +55,6 @@ def slugify_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(p).select("k", text.slug(F.col("s")).alias("slug"))
 
 
-@query()
-def slugify_source_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of whole texts and of part names."""
-    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), F.col("text").alias("s"))
-    p = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("k"), F.col("p_name").alias("s"))
-    return d.unionByName(p).select("k", text.slug(F.col("s")).alias("slug"))
-
-
 @query(sql.FALLBACK_TITLE)
 def fallback_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.title_from_text(F.col("text")).alias("title"))
@@ -118,12 +110,6 @@ def tokenise_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokenised(adapt.token_lines(table(spark, sf_dir, "documents")))
 
 
-@query()
-def tokenise_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """tokenise_words of all lines of all documents."""
-    return _tokenised(adapt.token_lines(table(spark, sf_dir, "documents")))
-
-
 @query(sql.GLYPH_PREFIX)
 def glyph_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", glyphs.width_prefix(F.col("p_name")).alias("prefix"))
@@ -164,12 +150,6 @@ def compact_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compacted(adapt.lines(spark, sf_dir))
 
 
-@query()
-def compact_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """compact_words of all pages."""
-    return _compacted(adapt.lines(spark, sf_dir))
-
-
 @query(sql.ROW_GROUPING)
 def row_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of each page, shaken, as rows of text."""
@@ -201,12 +181,6 @@ def recognised_line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _recognised(adapt.token_lines(table(spark, sf_dir, "documents")))
 
 
-@query()
-def recognised_line_words_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """recognised_line_words of all lines; the first of each page has character centres."""
-    return _recognised(adapt.token_lines(table(spark, sf_dir, "documents")))
-
-
 @query(sql.CTC_COLLAPSE)
 def ctc_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index arrays made of part names, collapsed to text."""
@@ -449,16 +423,6 @@ def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("document_id", "position", "ocr_status", "current_page", "total_pages", "n_highlights")
 
 
-@query()
-def statuses_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """statuses of all orders, with an unknown id after each."""
-    key = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    ids = key.select(F.col("k").alias("document_id"), (2 * F.col("k")).alias("position")).unionByName(key.select((-1 - F.col("k")).alias("document_id"), (2 * F.col("k") + 1).alias("position")))
-    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"))
-    s = status.statuses(ids, _order_documents(spark, sf_dir), adapt.order_pages(spark, sf_dir), marks)
-    return s.select("document_id", "position", "ocr_status", "current_page", "total_pages", "n_highlights")
-
-
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_number"), "text", F.when(F.col("role") == "system", "FAILED").otherwise("COMPLETE").alias("status"))
 

@@ -29,11 +29,15 @@ def test_search_keys(spark):
     assert of(spark, ["(Two-words!)", "— x"], text.normalize_token) == ["two-words", "— x"]
 
 
+#: Characters that every runtime knows alike; a sigma's lower case depends on what a runtime takes for the end of a word.
+SETTLED = st.characters(min_codepoint=32, max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"], exclude_characters="\u03a3").filter(lambda c: unicodedata.ucd_3_2_0.category(c) != "Cn")
+
+
 @settings(max_examples=5, deadline=None)
-@given(st.lists(st.text(st.characters(min_codepoint=32, max_codepoint=0x2FFF, exclude_categories=["Cs", "Cn"]), max_size=12), min_size=20, max_size=40))
-def test_search_keys_are_stable(spark, values):
-    once = of(spark, values, text.normalize_for_search)
-    assert of(spark, once, text.normalize_for_search) == once
+@given(st.lists(st.text(SETTLED, max_size=12), min_size=20, max_size=40))
+def test_search_keys_equal_the_steps_in_order(spark, values):
+    """Lower case comes before the decomposition, so a double-struck capital, which has no lower case, leaves a capital: keys of keys may differ."""
+    assert of(spark, [*values, "\u2115"], text.normalize_for_search) == [plain_search(v) for v in [*values, "\u2115"]]
 
 
 def test_report_text(spark):
