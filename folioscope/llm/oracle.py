@@ -38,4 +38,19 @@ best AS (SELECT p.k, arg_max(u.host || u.path, length(u.host || u.path)) AS rule
 SELECT p.page_id, p.host, p.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM parts p LEFT JOIN best b USING (k)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1, "op4_warc_revisits": OP4, "op10_url_rules": OP10}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id::BIGINT AS doc_id, {_TERMS} AS terms FROM documents),
+sized AS (SELECT k, doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+corpus AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sized),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+tf AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY k, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, corpus GROUP BY term, docs),
+part AS (SELECT tf.k, tf.term, w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * (50 + (50 * s.n * c.docs) // c.total))) AS v FROM tf JOIN w USING (term) JOIN sized s ON s.k = tf.k, corpus c),
+scored AS (SELECT q.item_id, p.k, sum(p.v)::BIGINT AS score FROM part p JOIN q USING (term) GROUP BY q.item_id, p.k),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM scored JOIN sized USING (k) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": OP1, "op4_warc_revisits": OP4, "op10_url_rules": OP10, "op11_lexical_search": OP11}

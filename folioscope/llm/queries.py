@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import mil, minhash, mixing, packing, pii, rules, simhash, substring, urls, warc
+from folioscope.llm import lexical, mil, minhash, mixing, packing, pii, rules, simhash, substring, urls, warc
 from folioscope.llm.common import table
 
 
@@ -66,6 +66,10 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_collinear_chains": op2_collinear_chains,
@@ -77,4 +81,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_anchors": op8_simhash_anchors,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_rules": op10_url_rules,
+    "op11_lexical_search": op11_lexical_search,
 }
