@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import lexical, mil, minhash, mixing, packing, pii, rules, simhash, substring, urls, warc
+from folioscope.llm import langid, lexical, mil, minhash, mixing, packing, pii, rules, simhash, substring, urls, warc
 from folioscope.llm.common import table
 
 
@@ -70,6 +70,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    rows = langid.predicted(docs.select("doc_id", "text"), langid.trained(docs))
+    return rows.select("doc_id", mil.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_collinear_chains": op2_collinear_chains,
@@ -82,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_url_rules": op10_url_rules,
     "op11_lexical_search": op11_lexical_search,
+    "op12_language_id": op12_language_id,
 }
