@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import langid, lexical, mil, minhash, mixing, packing, pii, rules, simhash, substring, urls, warc
+from folioscope.llm import langid, lexical, mil, minhash, mixing, packing, pii, rules, simhash, substring, turns, urls, warc
 from folioscope.llm.common import table
 
 
@@ -76,6 +76,10 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", mil.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.reported(turns.repaired(turns.damaged(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_collinear_chains": op2_collinear_chains,
@@ -89,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_rules": op10_url_rules,
     "op11_lexical_search": op11_lexical_search,
     "op12_language_id": op12_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
 }
