@@ -5,7 +5,7 @@ its own format, so its length, separators and validity stay and equal values sta
 between their digits; numbers of other lengths are other values, as 1.1.2020 and 01.01.2020 are. The network F permutes [0, n) by walking cycles; the pseudonym of x is F^-1(F(x) + 1 mod n), which is a permutation
 without fixed points, so no value stays. permuted(..., back=True) inverts it.
 
-Kinds: e-mail addresses (the part before @), payment cards (Luhn), IBANs (mod 97), phone numbers, IPv4 addresses, social
+Kinds: e-mail addresses (the part before @, of any length; one without a letter or digit stays), payment cards (Luhn), IBANs (mod 97), phone numbers, IPv4 addresses, social
 security numbers, calendar dates from 1900 to 2099, access keys, hexadecimal secrets of 32 digits or more, and values after
 password=, token= and the like. Numbers that don't validate stay.
 
@@ -115,10 +115,7 @@ def luhn(digits: str) -> int:
 
 def _email(v: str, key: bytes, back: bool) -> str | None:
     name, _, host = v.rpartition("@")
-    if sum(c.isalnum() for c in name) >= 3:
-        return _spelled(name, key, "email|" + host.lower(), back) + "@" + host
-    first, dot, rest = host.partition(".")
-    return _spelled(f"{name}@{first}", key, "email|" + rest.lower(), back) + dot + rest
+    return _spelled(name, key, "email|" + host.lower(), back) + "@" + host
 
 
 def _card(v: str, key: bytes, back: bool) -> str | None:

@@ -46,6 +46,16 @@ def test_values_change_in_format_and_come_back(value):
     assert pii.permuted(text, key=b"other")[0] != out
 
 
+@pytest.mark.parametrize("name", ["a", "7", "u1", "ab", "x.y", "q_9"])
+def test_short_names_change_under_every_key(name):
+    """The name alone, as its address keeps the host."""
+    for i in range(300):
+        out = pii.permuted(f"to {name}@mail.org.", key=b"key %d" % i)[0]
+        new, _, host = out[3:-1].partition("@")
+        assert host == "mail.org" and new != name and len(new) == len(name)
+        assert pii.permuted(out, key=b"key %d" % i, back=True)[0] == f"to {name}@mail.org."
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_clean_text_stays(text):
     assert pii.permuted(text) == (text, {})
