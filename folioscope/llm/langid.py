@@ -1,7 +1,7 @@
 """Language identification by averaged hashed subword embeddings with a linear softmax.
 
-A text's words are cut to their runs of letters, lower-cased; a run's features are itself and its character 2-, 3- and 4-grams
-with its ends marked, hashed into BUCKETS. A text is the mean of its features' embeddings, repeats counted, and a linear
+A text is cut to its runs of letters, lower-cased; a run's features are itself and its character 2-, 3- and 4-grams with its
+ends marked, hashed into BUCKETS. A text is the mean of its features' embeddings, repeats counted, and a linear
 softmax reads the language from it. Embeddings and softmax are trained together by stochastic gradient descent in numpy, from a
 fixed seed, on whole texts and on short passages of them, so that short texts are judged as well as long ones.
 
@@ -21,16 +21,13 @@ those added are replaced. Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,50 +45,67 @@ PIECES = (3, 10, 40)
 PRECISION = 0.99
 #: A mean of many embeddings is small; it is multiplied by this.
 GAIN = 8.0
-#: Numbers that a task keeps for words that it has seen, and the longest word that is kept.
-CACHE, LONGEST = 1 << 22, 64
-BYTES_AT_ONCE = 1 << 20
-_letters = regex.compile(r"\p{L}+")
-
-
-def _features(word: bytes) -> np.ndarray:
-    """Buckets of a word: of each run of letters itself and its 2- to 4-grams, ends marked."""
-    out = []
-    for run in _letters.findall(word.decode("utf-8", "replace").lower()):
-        marked = f"<{run}>"
-        out.append(f"={run}")
-        for n in (2, 3, 4):
-            out.extend(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return np.fromiter((xxhash.xxh32_intdigest(x) % BUCKETS for x in out), np.int64, len(out))
-
-
-_kept = lru_cache(1 << 16)(_features)
-
-
-def features(word: bytes) -> np.ndarray:
-    return _kept(word) if len(word) <= LONGEST else _features(word)
-
-
-def bag(words: list[bytes]) -> np.ndarray:
-    """How often each bucket occurs."""
-    total = np.zeros(BUCKETS)
-    for i in range(0, len(words), 1 << 16):
-        seen = Counter(words[i : i + (1 << 16)])
-        got = [features(w) for w in seen]
-        total += np.bincount(np.concatenate(got), weights=np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(f) for f in got]), minlength=BUCKETS)
-    return total.astype(np.float32)
+#: Bytes and texts whose features are counted at once; a longer text is cut between words.
+BYTES_AT_ONCE, TEXTS_AT_ONCE = 1 << 18, 64
+#: No letter has a higher code point (Unicode 16: 323AF).
+LAST_LETTER = 0x32400
+#: Odd 64-bit multipliers; the upper 13 bits of a sum are the bucket.
+_ODD = np.random.default_rng(7).integers(1 << 62, (1 << 63) - 1, 64, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
+
+
+@cache
+def _letters() -> np.ndarray:
+    """code point -> its lower case, or 0 if it is no letter."""
+    table = np.zeros(0x110000, np.uint32)
+    for i in range(LAST_LETTER):
+        c = chr(i)
+        if c.isalpha():
+            table[i] = ord(c.lower()[0])
+    return table
+
+
+def bags(texts: list[str]) -> np.ndarray:
+    """How often each bucket occurs in each text: (texts, BUCKETS). All texts together are one array of code points."""
+    raw = np.frombuffer(("\0" + "\0\0".join(texts) + "\0").encode("utf-32-le", "replace"), "<u4")
+    c = _letters()[np.minimum(raw, 0x10FFFF)].astype(np.uint64)
+    own = np.repeat(np.arange(len(texts)) * BUCKETS, [len(t) + 2 for t in texts])
+    letter = c > 0
+    # A window's first and last place may be an end; what is between are letters.
+    windows = {2: letter[:-1] | letter[1:], 3: letter[1:-1], 4: letter[1:-2] & letter[2:-1]}
+    found = []
+    for n, good in windows.items():
+        at = np.flatnonzero(good)
+        h = c[at] * _ODD[n]
+        for i in range(1, n):
+            h += c[at + i] * _ODD[n + 4 * i]
+        found.append(own[at] + (h >> _SHIFT).astype(np.int64))
+    starts = np.flatnonzero(letter[1:] & ~letter[:-1]) + 1
+    if len(starts):
+        run = np.cumsum(letter[1:] & ~letter[:-1])  # of each place from the second on; ends belong to the run before
+        place = np.arange(1, len(c)) - starts[np.maximum(run - 1, 0)]
+        value = np.where(letter[1:], c[1:] * (_ODD[0] + (place.astype(np.uint64) * _ODD[1] << np.uint64(1))), np.uint64(0))
+        found.append(own[starts] + ((np.add.reduceat(value, starts - 1) * _ODD[63]) >> _SHIFT).astype(np.int64))
+    return np.bincount(np.concatenate(found), minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS)
+
+
+def bag(text: bytes) -> np.ndarray:
+    """bags() of one text of any length, cut between words."""
+    total = np.zeros(BUCKETS, np.int64)
+    for words in word_blocks(text, 0):
+        total += bags([b" ".join(words).decode("utf-8", "replace")])[0]
+    return total
 
 
 def pieces(text: bytes, at: int) -> list[np.ndarray]:
     """Bags of a whole text and of its passages of PIECES words, at places told by the number `at`."""
-    whole = np.zeros(BUCKETS, np.float32)
-    out, count = [], 0
-    for words in word_blocks(text, 0):
-        whole += bag(words)
-        if not count:
-            out = [bag(words[(s := (at + 7919 * n) % max(1, len(words) - n + 1)) : s + n]) for n in PIECES if n < len(words)]
-        count += len(words)
-    return [b for b in (whole, *out) if b.any()]
+    words = next(word_blocks(text, 0), [])
+    out = [bag(text)]
+    for n in PIECES:
+        if n < len(words):
+            start = (at + 7919 * n) % (len(words) - n + 1)
+            out.append(bag(b" ".join(words[start : start + n])))
+    return [b for b in out if b.any()]
 
 
 @dataclass
@@ -113,20 +127,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(1, keepdims=True)
 
 
-def descended(bags: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, languages: list[str], epochs: int = EPOCHS, rate: float = 1.0, seed: int = 1) -> Model:
-    """Stochastic gradient descent, the rate falling to zero; bags: buckets and counts. Languages weigh alike."""
+def descended(sample: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, languages: list[str], epochs: int = EPOCHS, rate: float = 1.0, seed: int = 1) -> Model:
+    """Stochastic gradient descent, the rate falling to zero; sample: buckets and counts. Languages weigh alike."""
     rng = np.random.default_rng(seed)
     n = len(languages)
     model = Model(languages, rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)), rng.normal(0, 0.1, (DIMENSIONS, n)), np.zeros(n))
     weight = (len(of) / n / np.maximum(1, np.bincount(of, minlength=n)))[of]
-    step, steps = 0, epochs * -(-len(bags) // BATCH)
+    step, steps = 0, epochs * -(-len(sample) // BATCH)
     for _ in range(epochs):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(sample))
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
             x = np.zeros((len(own), BUCKETS))
             for row, j in enumerate(own):
-                x[row, bags[j][0]] = bags[j][1] / bags[j][1].sum()
+                x[row, sample[j][0]] = sample[j][1] / sample[j][1].sum()
             x *= GAIN
             hidden = x @ model.embeddings
             d = _softmax(hidden @ model.softmax + model.bias)
@@ -141,14 +155,14 @@ def descended(bags: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, languag
     return model
 
 
-def calibrated(model: Model, bags: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, precision: float = PRECISION) -> Model:
+def calibrated(model: Model, sample: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, precision: float = PRECISION) -> Model:
     """model with the temperature of the least log loss over other bags, and the least score from which on `precision` of the answers are right."""
-    if not bags:
+    if not sample:
         return model
     z = []
-    for i in range(0, len(bags), 256):
-        x = np.zeros((len(bags[i : i + 256]), BUCKETS))
-        for row, (b, c) in enumerate(bags[i : i + 256]):
+    for i in range(0, len(sample), 256):
+        x = np.zeros((len(sample[i : i + 256]), BUCKETS))
+        for row, (b, c) in enumerate(sample[i : i + 256]):
             x[row, b] = c
         z.append(model.logits(x))
     z = np.concatenate(z)
@@ -197,46 +211,14 @@ def trained(docs: DataFrame, most: int = TRAIN_DOCS, languages: int = MOST_LANGU
     if not names:
         return None
     at = {x: i for i, x in enumerate(names)}
-    bags = [(np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<f4")) for r in rows]
+    sample = [(np.frombuffer(r.buckets, "<u2").astype(np.int64), np.frombuffer(r.counts, "<f4")) for r in rows]
     of, apart = np.array([at[r.lang] for r in rows]), np.array([r.h % 8 == 3 for r in rows])
     if not all((~apart & (of == i)).any() for i in range(len(names))):  # too few documents to set some apart
-        return calibrated(descended(bags, of, names), bags, of, precision)
-    part = lambda keep: ([b for b, k in zip(bags, keep, strict=True) if k], of[keep])
+        return calibrated(descended(sample, of, names), sample, of, precision)
+    part = lambda keep: ([b for b, k in zip(sample, keep, strict=True) if k], of[keep])
     return calibrated(descended(*part(~apart), names), *part(apart), precision)
 
 
-class Votes(dict):
-    """word -> row of self.rows: its features' votes for each language, and their number."""
-
-    def __init__(self, votes: np.ndarray) -> None:
-        self.votes, self.most = votes, max(1000, CACHE // (votes.shape[1] + 1))
-        self.rows = np.zeros((1024, votes.shape[1] + 1), np.float32)
-
-    def of(self, word: bytes) -> np.ndarray:
-        f = features(word)
-        return np.r_[self.votes[f].sum(0), len(f)]
-
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self)
-        if i == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        self.rows[i] = self.of(word)
-        return i
-
-    def total(self, text: bytes) -> np.ndarray:
-        out = np.zeros(self.rows.shape[1])
-        for words in word_blocks(text, 0):
-            for i in range(0, len(words), self.most):
-                if len(self) > self.most:
-                    self.clear()
-                part = words[i : i + self.most]
-                ids = [self[w] for w in part if len(w) <= LONGEST]
-                out += self.rows[np.array(ids, np.int64)].sum(0, dtype=np.float64)
-                if len(ids) < len(part):
-                    out += sum(self.of(w) for w in part if len(w) > LONGEST)
-        return out
-
-
 def predicted(docs: DataFrame, model: Model | None, lang: str = "lang_pred", score: str = "score", accepted: str = "accepted") -> DataFrame:
     """docs with the language of each whole text, its score from 0 to 1, and whether the score reaches the threshold."""
     kept = [c for c in docs.columns if c.lower() not in (lang.lower(), score.lower(), accepted.lower()) or c == "text"]
@@ -244,20 +226,27 @@ def predicted(docs: DataFrame, model: Model | None, lang: str = "lang_pred", sco
     names, at = docs.columns, docs.columns.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        votes = Votes(GAIN * model.embeddings @ model.softmax) if model else None
+        votes = GAIN * model.embeddings @ model.softmax if model else None
         for b in batches:
             size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False))
-            cuts = [0, *(np.flatnonzero(np.diff(size // BYTES_AT_ONCE)) + 1).tolist(), len(b)]
+            near = np.maximum(np.diff(size // BYTES_AT_ONCE), np.diff(np.arange(len(b)) // TEXTS_AT_ONCE)) if len(b) else np.zeros(0)
+            cuts = [0, *(np.flatnonzero(near) + 1).tolist(), len(b)]
             for start, end in zip(cuts, cuts[1:], strict=False):
                 part = b.slice(start, end - start)
                 if not len(part):
                     continue
                 said, p = [UNKNOWN] * len(part), np.zeros(len(part))
                 if votes is not None:
-                    sums = np.stack([votes.total(t or b"") for t in part.column(at).cast(pa.binary()).to_pylist()])
-                    told = np.flatnonzero(sums[:, -1] > 0)
+                    texts = part.column(at)
+                    long = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False) > BYTES_AT_ONCE
+                    if long.any():
+                        x = np.stack([bag(t or b"") for t in texts.cast(pa.binary()).to_pylist()])
+                    else:
+                        x = bags([t or "" for t in texts.to_pylist()])
+                    total = x.sum(1)
+                    told = np.flatnonzero(total > 0)
                     if len(told):
-                        z = _softmax((sums[told, :-1] / sums[told, -1:] + model.bias) / model.temperature)
+                        z = _softmax((x[told] @ votes / total[told, None] + model.bias) / model.temperature)
                         p[told] = z.max(1)
                         for i, k in zip(told.tolist(), z.argmax(1).tolist(), strict=True):
                             said[i] = model.languages[k]
