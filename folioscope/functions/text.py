@@ -68,9 +68,25 @@ def normalize_token(s: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(flat, r"\p{Lm}+", ""), r"^[^\p{L}\p{N}\p{Pd}]+|[^\p{L}\p{N}\p{Pd}]+$", "")
 
 
+def _letters(s: Column, besides: str) -> Column:
+    """normalize_token without anything but letters, numbers and `besides`, in one pass; texts of ASCII alone need no decomposition."""
+    one, base, several = decompositions()
+    rare = F.split(F.lit("\n".join(c + flat for c, flat in several)), "\n")
+    spelled = lambda x: F.aggregate(rare, x, lambda a, r: F.replace(a, F.substring(r, 1, 1), F.substring(r, 2, 40)))
+    some = "[" + "".join(c for c, _ in several) + "]"
+    flat = lambda x: let(F.translate(x, one, base), lambda y: F.translate(F.when(y.rlike(r"[\x{BC}-\x{BE}\x{0100}-\x{FFFF}]") & y.rlike(some), spelled(y)).otherwise(y), "ıə", "i"))
+    lower = let(F.lower(s), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), flat(x)).otherwise(x))
+    return F.regexp_replace(lower, rf"[\p{{Lm}}[^\p{{L}}\p{{N}}{besides}]]+", "")
+
+
 def normalize_for_search(s: Column) -> Column:
     """normalize_token without anything but letters and numbers, so that spaces vanish."""
-    return F.regexp_replace(normalize_token(s), r"[^\p{L}\p{N}]+", "")
+    return _letters(s, "")
+
+
+def normalized_words(words: Column) -> Column:
+    """Search keys of an array of words, which hold no line feed, in one pass over all of them; a null word is an empty one."""
+    return F.when(F.size(words) > 0, F.split(_letters(F.array_join(words, "\n", ""), r"\n"), "\n", -1)).otherwise(F.array().cast("array<string>"))
 
 
 def trimmed(s: Column) -> Column:

@@ -1,21 +1,30 @@
 """Keyword search: whole words on text without spaces.
 
 A match begins where a word begins and ends where a word ends, so syllables that were split into several boxes match
-together and a keyword doesn't match inside a longer word. Up to LITERAL needles are tested inside the scan's projection;
-more are joined by equality to the word-bounded spans of the lines, so the work grows with the text and not with the
-number of keywords.
+together and a keyword doesn't match inside a longer word. A line's spans from word to word, of the needles' lengths only, are
+hashed and meet a bit table of all needles' hashes inside the scan's projection, so the work grows with the text and not with
+the number of keywords. Lines that pass, few of which don't hit, are placed and meet the needles by an equi-join on the hash; the
+match itself confirms.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import let, normalize_for_search
+from folioscope.functions.text import let, normalize_for_search, normalized_words
 from folioscope.operators.layout import GLUE, box
 from folioscope.schema import AUTO_COLOR, AUTO_OPACITY
 
 LITERAL = 256
+#: Bits of the table for each needle, and at most: 1 MB.
+BITS, MOST_BITS = 64, 1 << 23
+#: Lengths of needles that are told apart; longer ones are all tried.
+LENGTHS = 1 << 12
+#: Needles that may be broadcast; they are counted first. Of a few hundred bytes at most each.
+SMALL = 50_000
 
 
 def needles(keywords: DataFrame) -> DataFrame:
@@ -70,37 +79,63 @@ def _highlights(hits: DataFrame) -> DataFrame:
     return hits.select("document_id", "page_number", "line", F.col("m.at").alias("start_at"), "keyword_id", "keyword", F.size("covered").alias("n_words"), "b.x", "b.y", "b.width", "b.height", F.lit(AUTO_COLOR).alias("color"), F.lit(AUTO_OPACITY).alias("opacity"), F.lit("AUTO").alias("source"))
 
 
-def search(lines: DataFrame, keywords: DataFrame) -> DataFrame:
+@dataclass
+class Needles:
+    """What is told of all needles to the scan: their number, a bit table of their hashes, and which lengths they have."""
+
+    count: int
+    words: Column
+    bits: int
+    lengths: Column
+    longest: int
+
+
+def needle_table(wanted: DataFrame) -> Needles:
+    """wanted: needle. Collects the table's words of 64 bits, MOST_BITS at most, and the lengths up to LENGTHS."""
+    n, longest = wanted.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("needle")), F.lit(0))).first()
+    bits = 1 << 12
+    while bits < min(MOST_BITS, BITS * n):
+        bits *= 2
+    h = F.xxhash64("needle")
+    places = wanted.select(F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at"))
+    one = F.expr("shiftleft(1L, cast(at & 63 as int))")
+    held = {r.word: r.x for r in places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("x")).collect()}
+    have = {r.n for r in wanted.select(F.least(F.length("needle"), F.lit(LENGTHS)).alias("n")).distinct().collect()}
+    listed = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")
+    return Needles(n, listed((held.get(i, 0) for i in range(bits // 64)), "bigint"), bits, listed((int(i in have) for i in range(LENGTHS + 1)), "int"), longest)
+
+
+def span_hashes(keys: Column, told: Needles) -> Column:
+    """Hashes of a line's spans from word to word that are in the table; keys: the search keys of its words."""
+    joined = F.array_join(keys, "")
+    ends = F.aggregate(F.transform(keys, lambda k: F.length(k)), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def hashed(text: Column, at: Column) -> Column:
+        fit = lambda start, end: (end > start) & (F.get(told.lengths, F.least(end - start, F.lit(LENGTHS))) == 1)
+        of = lambda start, i: F.transform(F.filter(F.slice(at, i + 2, F.size(at)), lambda end: fit(start, end)), lambda end: F.xxhash64(F.substring(text, start + 1, end - start)))
+        held = lambda x: F.getbit(F.get(told.words, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+        both = lambda h: held(h.bitwiseAND(F.lit(told.bits - 1))) & held(F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(told.bits - 1)))
+        return F.filter(F.flatten(F.transform(at, of)), both)
+
+    return let(F.struct(joined.alias("t"), ends.alias("e")), lambda x: hashed(x["t"], x["e"]))
+
+
+def search(lines: DataFrame, keywords: DataFrame, small: int = SMALL) -> DataFrame:
     """A highlight for every match of each keyword (keyword_id, keyword) in the lines (LINES).
 
     A column `text` of the lines, if there is one, holds the texts of their words, spaces between; lines that can't match are
-    then left out before their words are looked at or even placed.
+    then left out before their words are looked at or even placed. Up to `small` needles are broadcast, more are shuffled.
     """
     wanted = needles(keywords).select("keyword_id", "keyword", "needle")
-    some = wanted.limit(LITERAL + 1).collect()
-    if not some:
+    told = needle_table(wanted)
+    if not told.count:
         rows = flattened(lines).limit(0).withColumns({"keyword_id": F.lit(0), "keyword": F.lit(""), "m": F.lit(None).cast("struct<at:int,from:int,to:int>")})
         return _highlights(rows)
-    if len(some) <= LITERAL:
-        texts = F.array(*map(F.lit, sorted({r.needle for r in some})))
-        # One cheap test of the whole line before its words are looked at.
-        rough = normalize_for_search(F.col("text") if "text" in lines.columns else F.array_join(F.transform("words", lambda w: w["text"]), " "))
-        hit = lines.withColumn("__needles", let(rough, lambda r: F.filter(texts, lambda n: F.contains(r, n)))).filter(F.size("__needles") > 0)
-        hit = flattened(hit).select("*", F.explode("__needles").alias("__needle"))
-        hit = hit.select("*", F.explode(_matches(F.col("search_text"), F.col("flat"), F.col("__needle"))).alias("m"))
-        return _highlights(hit.join(F.broadcast(wanted), F.col("__needle") == F.col("needle")))
-    return _highlights(_span_join(lines, wanted))
-
-
-def _span_join(lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Hits of any number of keywords: spans from word to word, not longer than the longest needle, equal to a needle."""
-    most = wanted.agg(F.max(F.length("needle"))).first()[0]
-    flat = F.col("flat")
-    spans = F.flatten(F.transform(flat, lambda f: F.transform(F.filter(flat, lambda g: (g["i"] >= f["i"]) & ~f["before"] & ~g["after"] & (g["end"] - f["start"] <= most)), lambda g: F.substring(F.col("search_text"), f["start"] + 1, g["end"] - f["start"]))))
-    # Only a line's key moves with its spans; the words are joined back to the lines that hit.
-    key = ["document_id", "page_number", "line"]
-    met = flattened(lines).select(*key, F.explode(F.array_distinct(spans)).alias("needle")).distinct().join(wanted, "needle")
-    return flattened(lines).join(met, key).select("*", F.explode(_matches(F.col("search_text"), F.col("flat"), F.col("needle"))).alias("m"))
+    texts = F.split("text", " ", -1) if "text" in lines.columns else F.transform("words", lambda w: F.translate(w["text"], "\n", " "))
+    hit = lines.withColumn("__hashes", span_hashes(normalized_words(texts), told)).filter(F.size("__hashes") > 0)
+    of = wanted.withColumn("__hash", F.xxhash64("needle"))
+    met = flattened(hit).withColumn("__hash", F.explode(F.array_distinct("__hashes"))).drop("__hashes").join(F.broadcast(of) if told.count <= small else of, "__hash")
+    return _highlights(met.select("*", F.explode(_matches(F.col("search_text"), F.col("flat"), F.col("needle"))).alias("m")))
 
 
 def candidate_pages(pages: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from folioscope import schema
 from folioscope.functions import dates, encoding, glyphs, text
-from folioscope.operators import findings, keywords, layout, quality, queue, search, status
+from folioscope.operators import findings, keywords, layout, postings, quality, queue, search, status
 from folioscope.plans import sql
 from folioscope.sources import adapt, media
 from folioscope.sources.adapt import table
+from folioscope.sources.shared import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -247,6 +248,16 @@ def search_page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"))
 
 
+@query(sql.SEARCH_PAGE_HITS)
+def search_page_hits_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index: half of the documents come first, a third of them with other texts, then the rest and those again."""
+    pages, path = _pages(spark, sf_dir), shared_path(spark, "index")
+    odd, again = F.col("document_id").cast("long") % 2 == 1, F.col("document_id").cast("long") % 6 == 0
+    postings.add(pages.filter(~odd).withColumn("search_text", F.when(again, F.reverse("search_text")).otherwise(F.col("search_text"))), path, "first")
+    postings.add(pages.filter(odd | again), path, "second")
+    return postings.candidate_pages(spark, path, adapt.phrases(spark, sf_dir)).groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"))
+
+
 @query(sql.SEARCH_HIGHLIGHTS)
 def search_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: highlights of every keyword in every document."""
@@ -256,8 +267,8 @@ def search_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql.SEARCH_HIGHLIGHTS)
 def search_highlights_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the join that serves any number of keywords."""
-    h = search._highlights(search._span_join(adapt.lines(spark, sf_dir), search.needles(adapt.phrases(spark, sf_dir))))
+    """The same with needles that are not broadcast."""
+    h = search.search(adapt.lines(spark, sf_dir), adapt.phrases(spark, sf_dir), small=0)
     return h.select("document_id", "page_number", "line", "start_at", "keyword_id", "keyword", "n_words", *(F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")), "color", "opacity", "source")
 
 

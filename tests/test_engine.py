@@ -78,7 +78,7 @@ def test_scan_equals_a_plain_one(spark):
         want += [(f"d{n}", k, *m) for k in needles for m in plain_matches(words, glued, k)]
     lines = lines_of(spark, rows)
     wanted = keys(spark, *needles)
-    for got in (search.search(lines, wanted), search._highlights(search._span_join(lines, search.needles(wanted)))):
+    for got in (search.search(lines, wanted), search.search(lines, wanted, small=0)):
         assert sorted((r.document_id, r.keyword, r.start_at, r.n_words) for r in got.collect()) == sorted(want)
 
 
