@@ -10,6 +10,8 @@ match itself confirms.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ LITERAL = 256
 BITS, MOST_BITS = 64, 1 << 23
 #: Lengths of needles that are told apart; longer ones are all tried.
 LENGTHS = 1 << 12
+#: Characters of a needle that are looked for first, where a word begins: FIRST of them in a set of FIRSTS at most, then HEAD in the table.
+HEAD, FIRST, FIRSTS = 6, 3, 4096
 #: Needles that may be broadcast; they are counted first. Of a few hundred bytes at most each.
 SMALL = 50_000
 
@@ -87,22 +91,30 @@ class Needles:
     words: Column
     bits: int
     lengths: Column
-    longest: int
+    heads: list[int]
+    firsts: list[str] | None
 
 
 def needle_table(wanted: DataFrame) -> Needles:
-    """wanted: needle. Collects the table's words of 64 bits, MOST_BITS at most, and the lengths up to LENGTHS."""
-    n, longest = wanted.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("needle")), F.lit(0))).first()
-    bits = 1 << 12
-    while bits < min(MOST_BITS, BITS * n):
+    """wanted: needle. Collects the table's words of 64 bits, MOST_BITS bits at most, and the lengths up to LENGTHS."""
+    sized = wanted.select("needle", F.least(F.length("needle"), F.lit(LENGTHS)).alias("n"))
+    have = {r.n: r.many for r in sized.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()}
+    count, bits = sum(have.values()), 1 << 12
+    while bits < min(MOST_BITS, BITS * count):
         bits *= 2
-    h = F.xxhash64("needle")
-    places = wanted.select(F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at"))
+    # Heads are told apart from whole needles by their hash's seed.
+    h = F.col("h")
+    of = wanted.select(F.explode(F.array(F.xxhash64("needle"), _head(F.substring("needle", 1, HEAD)))).alias("h"))
+    places = of.select(F.explode(F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))).alias("at"))
     one = F.expr("shiftleft(1L, cast(at & 63 as int))")
     held = {r.word: r.x for r in places.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("x")).collect()}
-    have = {r.n for r in wanted.select(F.least(F.length("needle"), F.lit(LENGTHS)).alias("n")).distinct().collect()}
     listed = lambda xs, kind: F.split(F.lit(",".join(map(str, xs))), ",").cast(f"array<{kind}>")
-    return Needles(n, listed((held.get(i, 0) for i in range(bits // 64)), "bigint"), bits, listed((int(i in have) for i in range(LENGTHS + 1)), "int"), longest)
+    firsts = [r.f for r in wanted.select(F.substring("needle", 1, FIRST).alias("f")).distinct().limit(FIRSTS + 1).collect()]
+    return Needles(count, listed((held.get(i, 0) for i in range(bits // 64)), "bigint"), bits, listed((int(i in have) for i in range(LENGTHS + 1)), "int"), sorted({min(n, HEAD) for n in have}), sorted(firsts) if len(firsts) <= FIRSTS else None)
+
+
+def _head(s: Column) -> Column:
+    return F.xxhash64(s, F.lit(1))
 
 
 def span_hashes(keys: Column, told: Needles) -> Column:
@@ -110,12 +122,16 @@ def span_hashes(keys: Column, told: Needles) -> Column:
     joined = F.array_join(keys, "")
     ends = F.aggregate(F.transform(keys, lambda k: F.length(k)), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
 
+    held = lambda x: F.getbit(F.get(told.words, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
+    both = lambda h: held(h.bitwiseAND(F.lit(told.bits - 1))) & held(F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(told.bits - 1)))
+
     def hashed(text: Column, at: Column) -> Column:
+        first = lambda start, n: F.substring(text, start + 1, F.lit(n)).isin(*(f for f in told.firsts if len(f) == n))
+        maybe = lambda start: reduce(or_, (first(start, n) for n in sorted({len(f) for f in told.firsts}, reverse=True))) if told.firsts else F.lit(True)
+        heads = lambda start: maybe(start) & F.exists(F.array(*(_head(F.substring(text, start + 1, F.lit(n))) for n in told.heads)), both)
         fit = lambda start, end: (end > start) & (F.get(told.lengths, F.least(end - start, F.lit(LENGTHS))) == 1)
-        of = lambda start, i: F.transform(F.filter(F.slice(at, i + 2, F.size(at)), lambda end: fit(start, end)), lambda end: F.xxhash64(F.substring(text, start + 1, end - start)))
-        held = lambda x: F.getbit(F.get(told.words, F.shiftright(x, 6).cast("int")), x.bitwiseAND(F.lit(63)).cast("int")) == 1
-        both = lambda h: held(h.bitwiseAND(F.lit(told.bits - 1))) & held(F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(told.bits - 1)))
-        return F.filter(F.flatten(F.transform(at, of)), both)
+        of = lambda start: F.transform(F.filter(at, lambda end: fit(start, end)), lambda end: F.xxhash64(F.substring(text, start + 1, end - start)))
+        return F.filter(F.flatten(F.transform(F.filter(at, heads), of)), both)
 
     return let(F.struct(joined.alias("t"), ends.alias("e")), lambda x: hashed(x["t"], x["e"]))
 
@@ -132,9 +148,11 @@ def search(lines: DataFrame, keywords: DataFrame, small: int = SMALL) -> DataFra
         rows = flattened(lines).limit(0).withColumns({"keyword_id": F.lit(0), "keyword": F.lit(""), "m": F.lit(None).cast("struct<at:int,from:int,to:int>")})
         return _highlights(rows)
     texts = F.split("text", " ", -1) if "text" in lines.columns else F.transform("words", lambda w: F.translate(w["text"], "\n", " "))
-    hit = lines.withColumn("__hashes", span_hashes(normalized_words(texts), told)).filter(F.size("__hashes") > 0)
+    # The filter goes below what places the words; the few lines that are left are hashed again.
+    hashes = let(normalized_words(texts), lambda k: F.array_distinct(span_hashes(k, told)))
+    hit = lines.filter(F.size(hashes) > 0).withColumn("__hash", F.explode(hashes))
     of = wanted.withColumn("__hash", F.xxhash64("needle"))
-    met = flattened(hit).withColumn("__hash", F.explode(F.array_distinct("__hashes"))).drop("__hashes").join(F.broadcast(of) if told.count <= small else of, "__hash")
+    met = flattened(hit.join(F.broadcast(of) if told.count <= small else of, "__hash"))
     return _highlights(met.select("*", F.explode(_matches(F.col("search_text"), F.col("flat"), F.col("needle"))).alias("m")))
 
 
