@@ -9,13 +9,19 @@ meets at an anchor. This is the covering radius plus threshold of the one-sided
 a block of 32 bits in place of 170.
 
 At an anchor all pairs are compared by popcount, but dense groups of near copies cost rows in proportion to their size: a
-task sends a shortest spanning forest of its links and, where they are confirmed later, the nearest of each member. Where a similarity is asked for, fingerprints are of sets of shingles, more of their words are
-compared than have anchors, and each link that leaves is confirmed by the exact Jaccard similarity of both texts' sets. Components of the links are found on DataFrames; nodes are named by the smallest
-doc_id with the fingerprint, so a component's smallest node is its id.
-
-Nulls: a null text has no words and fingerprint zero; a null doc_id keeps its row, and never is a component's id unless
-all of its documents have none (null); doc_ids are below 2^62. Repeated rows, ties: equal fingerprints are one node. Empty
-tables give no rows.
+task sends a shortest spanning forest of its links and, where they are confirmed later, the nearest of each member. Where a
+similarity is asked for, fingerprints are of sets of shingles, more of their words are compared than have anchors, and each
+link that leaves is confirmed by the exact Jaccard similarity of both texts' sets. A link is only held back if both of its
+documents have more than WIDE_LINKS; such documents are crowded. Pages of one template are: nearly all of their links are
+false. Those whose candidates are still apart meet once more, family by family in pairs of blocks, and the sizes of all
+intersections of two blocks' sets are one product of matrices; so no link between different texts is dropped unseen.
+
+Components of the links are found on DataFrames; nodes are named by the smallest doc_id with the fingerprint, so a component's
+smallest node is its id.
+
+Nulls: a null text has no words and fingerprint zero; a null doc_id keeps its row, and never is a component's id unless all of
+its documents have none (null). Repeated rows, ties: equal fingerprints are one node. Extra columns are left alone. Empty tables
+give no rows.
 """
 
 from __future__ import annotations
@@ -47,8 +53,12 @@ SMALL = 32
 MATRIX = 1 << 20
 #: A node's nearest links that are confirmed first; of the others, those that join two trees too, only what is still apart.
 WIDE_LINKS = 6
-#: Links that a task holds before it chooses among them.
+#: Links that a task holds before it chooses among them; what is left out is crowded.
 PENDING = 200_000
+#: Documents, and shingles, of a block of a crowded family.
+BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 19
+#: Shingles that two blocks share, by documents, whose presence is held at once: 4 bytes each.
+SHARED_AT_ONCE = 1 << 22
 #: First stand-in for a missing doc_id.
 NAMELESS = 1 << 62
 #: Rows of two longs that may be broadcast: 16 MB.
@@ -103,16 +113,16 @@ def set_simhash(text: bytes | None, k: int, words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...] | None, words: int = WORDS) -> DataFrame:
-    """doc_id and f0, f1, ... (long): fingerprints of every document's whole text, one a seed; without seeds, that many words of its set of shingles."""
+    """doc_id, named and f0, f1, ... (long): fingerprints of every document's whole text, one a seed; without seeds, that many words of its set of shingles."""
     n = len(seeds) if seeds else words
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).cast(pa.binary()).to_pylist()
+            texts = b.column(2).cast(pa.binary()).to_pylist()
             prints = np.array([[simhash(t, k, s) for s in seeds] if seeds else set_simhash(t, k, words) for t in texts], np.uint64).reshape(-1, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(prints[:, i]) for i in range(n))], ["doc_id", *(f"f{i}" for i in range(n))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(prints[:, i]) for i in range(n))], ["doc_id", "named", *(f"f{i}" for i in range(n))])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, "doc_id long, " + ", ".join(f"f{i} long" for i in range(n)))
+    return docs.select("doc_id", "named", "text").mapInArrow(of, "doc_id long, named boolean, " + ", ".join(f"f{i} long" for i in range(n)))
 
 
 def anchors_of(x: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -160,14 +170,15 @@ def _distances(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return sum(np.bitwise_count(a ^ b).astype(np.uint16) for a, b in zip(x, y, strict=True))
 
 
-def _nearest(fs: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, column) of each row's WIDE_LINKS nearest columns within `bits`, besides itself."""
+def _nearest(fs: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, bits: int, crowded: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, column) of each row's WIDE_LINKS nearest columns within `bits`, besides itself; rows that have more are crowded."""
     step = max(1, MATRIX // max(1, len(columns)))
     wide = [f[columns] for f in fs]
     for i in range(0, len(rows), step):
         own = rows[i : i + step]
         d = _distances([f[own][:, None] for f in fs], [c[None, :] for c in wide])
         d[own[:, None] == columns[None, :]] = 1 << 15
+        crowded.append(own[(d <= bits).sum(1) > WIDE_LINKS])
         best = np.argpartition(d, WIDE_LINKS - 1, axis=1)[:, :WIDE_LINKS] if len(columns) > WIDE_LINKS else np.broadcast_to(np.arange(len(columns)), d.shape)
         d = np.take_along_axis(d, best, 1)
         a, b = np.nonzero(d <= bits)
@@ -175,11 +186,11 @@ def _nearest(fs: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, bits:
             yield own[a], columns[best[a, b]]
 
 
-def _near_within(fs: list[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_within(fs: list[np.ndarray], bits: int, crowded: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of a large anchor's members: the nearest of each.
 
-    Breadth first by close links while a member still reaches many: dense groups leave quickly. What is left is compared with
-    all members, and the first members of the dense groups with each other.
+    Breadth first by close links while a member still reaches many: dense groups leave quickly, and are crowded. What is left
+    is compared with all members, and the first members of the dense groups with each other.
     """
     left, todo, idle, close, first = np.arange(len(fs[0])), [], 0, bits // 2, []
     of_group = 0
@@ -198,10 +209,11 @@ def _near_within(fs: list[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray,
             todo.extend(new.tolist())
             left = left[~near]
     every = np.arange(len(fs[0]))
+    crowded.append(np.setdiff1d(every, left))
     if len(left):
-        yield from _nearest(fs, left, every, bits)
+        yield from _nearest(fs, left, every, bits, crowded)
     if len(first) > 1:
-        yield from _nearest(fs, np.array(first), np.array(first), bits)
+        yield from _nearest(fs, np.array(first), np.array(first), bits, crowded)
 
 
 def _links_within(fs: list[np.ndarray], bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -254,10 +266,11 @@ class Forest:
 
 
 def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
-    """(a, b, d, tree): for each task, links that connect the nodes that met at its anchors (tree); many: besides, the nearest b of each a."""
+    """(a, b, d, tree): for each task, links that connect the nodes that met at its anchors (tree); many: besides, the nearest b of each a, and (a, a) for a node with links that were left out. Of a link that is left out both nodes are told."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[tuple[int, int], int] = {}
+        crowds: set[int] = set()
         kept, fewest = None, 0
 
         def take(a: list[np.ndarray], b: list[np.ndarray], d: list[np.ndarray]) -> None:
@@ -274,10 +287,14 @@ def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
                 joins = tree.join(x, y)
                 if joins:
                     chosen.append((x, y, d, True))
+                left_out = many and not joins
                 for p, q in ((x, y), (y, x)) if many else ():
                     if few[p] < WIDE_LINKS:
                         few[p] += 1
                         chosen.append((p, q, d, False))
+                        left_out = False
+                if left_out:
+                    crowds.update((x, y))
             met.clear()
             met.update({(max(x, y), min(x, y)): d for x, y, d, _ in chosen})
             fewest = len(met)
@@ -301,8 +318,11 @@ def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
             for g in np.flatnonzero(sizes > SMALL).tolist():
                 own = slice(starts[g], starts[g] + sizes[g])
                 part = [f[own] for f in fs]
-                for a, b in chain(_near_within(part, bits) if many else (), _links_within(part, bits)):
+                many_of: list[np.ndarray] = []
+                for a, b in chain(_near_within(part, bits, many_of) if many else (), _links_within(part, bits)):
                     take([ids[own][a]], [ids[own][b]], [_distances([f[a] for f in part], [f[b] for f in part])])
+                for at in many_of:
+                    crowds.update(ids[own][at].tolist())
 
         for b in batches:
             if not len(b):
@@ -315,7 +335,7 @@ def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
                 groups(now[0][:cut], now[1][:cut], [x[:cut].view(np.uint64) for x in now[2:]])
         if kept is not None:
             groups(kept[0], kept[1], [x.view(np.uint64) for x in kept[2:]])
-        out = choose()
+        out = choose() + [(x, x, 0, False) for x in crowds]
         for i in range(0, len(out), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["a", "b", "d", "tree"])
 
@@ -328,7 +348,7 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 def best_links(found: DataFrame) -> DataFrame:
     """Of links(): each node's nearest of all tasks, which is chosen from a short list: it has met others at some tens of anchors."""
-    nearest = found.filter("NOT tree").groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, WIDE_LINKS).alias("n"))
+    nearest = found.filter("NOT tree AND a != b").groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, WIDE_LINKS).alias("n"))
     return _pairs(nearest.select("a", F.explode("n.b").alias("b")))
 
 
@@ -373,9 +393,9 @@ def components(docs: DataFrame, k: int = 5, bits: int = SET_BITS, seeds: tuple[i
     """
     if 64 % blocks or 64 // blocks & (64 // blocks - 1) or 64 // blocks > 32 or least is None and 3 * blocks * len(seeds) <= bits:
         raise ValueError("blocks must be 2, 4, 8, ..., and without `least` 3 * blocks * len(seeds) > bits")
-    nameless = lambda c: F.when(F.col(c) < NAMELESS, F.col(c)).alias(c)
     found = _components(_named(docs), k, bits, seeds, blocks, least)
-    return found.select(nameless("doc_id"), *(c for c in found.columns if c[0] == "f"), nameless("component_id"))
+    prints = (c for c in found.columns if c[0] == "f")
+    return found.select(F.when(F.col("named"), F.col("doc_id")).alias("doc_id"), *prints, F.when(F.col("any_named"), F.col("component_id")).alias("component_id"))
 
 
 def _stand_in() -> Column:
@@ -383,14 +403,110 @@ def _stand_in() -> Column:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(_stand_in().alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(_stand_in().alias("doc_id"), F.col("doc_id").isNotNull().alias("named"), F.col("text").cast("string").alias("text"))
+
+
+def crowded_links(found: DataFrame, roots: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame | None:
+    """Links (a, b) of at least this similarity between crowded nodes of links() that are still apart (roots: node, root); None if there are none to look for.
+
+    Candidates that were left out lie within one component of the candidates, a family. Its crowded nodes are dealt to blocks:
+    nodes of one root that fill blocks of their own never meet each other, all others do, a pair of blocks in a task at a time.
+    """
+    crowds = found.filter("NOT tree AND a = b").select(F.col("a").alias("node")).distinct()
+    if crowds.isEmpty():
+        return None
+    families = staged(connected_components(_pairs(found)), "families")
+    near = lambda df: checked_broadcast(df, TWO_LONG_ROWS)
+    of = crowds.join(near(families.select("node", F.col("root").alias("family"))), "node").join(near(roots), "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
+    of = staged(of, "crowds")
+    apart = of.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("family")
+    of = of.join(near(staged(apart, "apart")), "family")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t or b"", k) for t in b.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["node", "family", "root", "size", "hashes"])
+
+    own = docs.join(near(of), F.col("doc_id") == F.col("node")).select("node", "family", "root", "text")
+    own = own.mapInArrow(encode, "node long, family long, root long, size long, hashes binary")
+    own = staged(own.groupBy("node", "family", "root").agg(F.min(F.struct("size", "hashes")).alias("s")).select("node", "family", "root", "s.*"), "sets")
+    # Blocks of one root (own >= 0), or of several small ones (-1).
+    parts = lambda n, size: F.ceil(F.greatest(n / BLOCK_NODES, size / BLOCK_SHINGLES)).cast("long")
+    by_root = own.groupBy("family", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).withColumn("large", parts(F.col("n"), F.col("s")) > 1)
+    small = by_root.filter("NOT large").groupBy("family").agg(parts(F.sum("n"), F.sum("s")).alias("small_parts"))
+    dealt = by_root.join(small, "family", "left").select("family", "root", F.when(F.col("large"), parts(F.col("n"), F.col("s"))).alias("own_parts"), "small_parts")
+    dealt = own.join(near(dealt), ["family", "root"])
+    block = F.when(F.col("own_parts").isNull(), F.pmod(F.xxhash64("root"), F.col("small_parts"))).otherwise(F.pmod(F.xxhash64("node"), F.col("own_parts")))
+    dealt = staged(dealt.select("node", "family", "root", "hashes", F.when(F.col("own_parts").isNotNull(), F.col("root")).alias("alone"), block.alias("block")), "blocks")
+    held = staged(dealt.select("family", "alone", "block").distinct().withColumn("id", F.monotonically_increasing_id()), "held")
+    x, y = (held.select("family", F.col("alone").alias(f"alone_{c}"), F.col("id").alias(c)) for c in "xy")
+    pairs = x.join(y, "family").filter("x <= y AND NOT coalesce(alone_x = alone_y, false)").select("x", "y", F.xxhash64("x", "y").alias("pair"))
+    sides = pairs.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("id"))
+    dealt = dealt.join(near(held.withColumnsRenamed({"family": "f", "alone": "a", "block": "b"})), (F.col("family") == F.col("f")) & F.col("alone").eqNullSafe(F.col("a")) & (F.col("block") == F.col("b"))).select("id", "node", "root", "hashes")
+    met = dealt.join(near(staged(sides, "pairs")), "id").select("x", "y", "id", "node", "root", "hashes")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+
+        def linked() -> list[tuple[int, int]]:
+            return block_links([r for r in rows if r[0] == now[0]], [r for r in rows if r[0] == now[1]] if now[0] != now[1] else None, least)
+
+        for b in batches:
+            out = []
+            for pair, row in zip(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), b.column(5), strict=True), strict=True):
+                if pair != now:
+                    out += linked() if rows else []
+                    now, rows = pair, []
+                rows.append((*row[:3], np.frombuffer(row[3].as_py(), "<u8")))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        out = linked() if rows else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return met.repartition("x", "y").sortWithinPartitions("x", "y", "id", "node").mapInArrow(compare, "a long, b long")
+
+
+def block_links(rows: list[tuple], others: list[tuple] | None, least: float) -> list[tuple[int, int]]:
+    """Links (node, node) between rows (block, node, root, set) and others, or within rows, that join all roots that links of at least this similarity join."""
+    second = rows if others is None else others
+    if not rows or not second:
+        return []
+    sets = [[r[3] for r in part] for part in (rows, second)]
+    every = [np.concatenate(s) for s in sets]
+    if others is None:
+        hashes, times = np.unique(every[0], return_counts=True)
+        shared = hashes[times > 1]
+    else:
+        shared = np.intersect1d(*(np.unique(e) for e in every))
+    both = np.zeros((len(rows), len(second)), np.float32)  # exact up to 2^24
+    wide = max(1, SHARED_AT_ONCE // max(len(rows), len(second)))
+    for i in range(0, len(shared), wide):
+        part = shared[i : i + wide]
+        held = []
+        for side, all_ in zip(sets, every, strict=True):
+            at = np.searchsorted(part, all_)
+            at[at == len(part)] = 0
+            own = np.repeat(np.arange(len(side)), [len(s) for s in side])
+            fits = part[at] == all_
+            x = np.zeros((len(side), len(part)), np.float32)
+            x[own[fits], at[fits]] = 1
+            held.append(x)
+        both += held[0] @ held[1].T
+    size = [np.array([len(s) for s in side], np.float64) for side in sets]
+    root = [np.array([r[2] for r in part]) for part in (rows, second)]
+    good = (both >= least * (size[0][:, None] + size[1][None, :] - both)) & (root[0][:, None] != root[1][None, :])
+    forest = Forest()
+    return [(rows[i][1], second[j][1]) for i, j in zip(*(x.tolist() for x in np.nonzero(good)), strict=True) if forest.join(rows[i][2], second[j][2])]
 
 
 def _components(own: DataFrame, k: int, bits: int, seeds: tuple[int, ...], blocks: int, least: float | None) -> DataFrame:
+    """doc_id, named, f0, ..., component_id, any_named (a document of the component has a doc_id). own: as _named() gives."""
     n, anchored = (len(seeds), len(seeds)) if least is None else (WORDS, ANCHORED)
     names = [f"f{i}" for i in range(n)]
     prints = staged(fingerprints(own, k, seeds if least is None else None), "fingerprints")
-    nodes = staged(prints.groupBy(*names).agg(F.min("doc_id").alias("node")), "nodes")
+    # A node without any doc_id has a stand-in, which is not a component's id if another node has one.
+    nodes = staged(prints.groupBy(*names).agg(F.min(F.struct(~F.col("named"), F.col("doc_id"))).alias("m")).select(*names, F.col("m.doc_id").alias("node"), (~F.col("m.col1")).alias("node_named")), "nodes")
     # Of different texts under one doc_id each may be a node; they are one.
     found = links(replicas(nodes, n, blocks, anchored), n, bits, least is not None)
     if least is None:
@@ -407,15 +523,22 @@ def _components(own: DataFrame, k: int, bits: int, seeds: tuple[int, ...], block
             rest = rest.join(of.select(F.col("node").alias(c), F.col("root").alias("root_" + c)), c, "left")
         rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
         again = staged(confirmed(staged(rest, "others"), own, k, least), "confirmed")
-        roots = staged(connected_components(edges.union(again)), "roots")
-    of_print = nodes.join(checked_broadcast(roots, TWO_LONG_ROWS), "node", "left").select(*names, F.coalesce("root", "node").alias("component_id"))
+        edges = edges.union(again)
+        roots = staged(connected_components(edges), "roots")
+        late = crowded_links(found, roots, own, k, least)
+        if late is not None:
+            roots = staged(connected_components(edges.union(staged(late, "crowded"))), "roots")
+    of_node = nodes.join(checked_broadcast(roots, TWO_LONG_ROWS), "node", "left").select(*names, "node", "node_named", F.coalesce("root", "node").alias("root"))
+    ids = of_node.groupBy("root").agg(F.min(F.struct(~F.col("node_named"), F.col("node"))).alias("m"), F.max("node_named").alias("any_named"))
+    odd = staged(ids.filter("m.node != root OR NOT any_named").select("root", F.col("m.node").alias("least"), "any_named"), "unnamed")  # few or none
+    of_print = of_node.join(checked_broadcast(odd, TWO_LONG_ROWS), "root", "left").select(*names, F.coalesce("least", "root").alias("component_id"), F.coalesce("any_named", F.lit(True)).alias("any_named"))
     return prints.join(checked_broadcast(staged(of_print, "components"), 2 * TWO_LONG_ROWS // (n + 1)), names)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, bits: int = SET_BITS, seeds: tuple[int, ...] = (42, 43), blocks: int = 4, least: float | None = 0.8) -> DataFrame:
     """docs with one document of each component: that with the smallest doc_id, and of its repeated rows one.
 
-    A row without a doc_id counts as one with a large number from its text, so it stays if it is alone. Texts don't move
+    A row without a doc_id counts as one after all others, so it stays if no other document of its component has one. Texts don't move
     unless more documents go than may be broadcast; only rows that repeat a doc_id are put in order.
     """
     key, rank = (own_prefix(docs) + x for x in ("key", "rank"))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -171,3 +172,63 @@ def test_nearly_all_of_a_large_family_go(spark):
     kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     kept = {r.doc_id for r in kept.collect()}
     assert 0 in kept and len(kept) <= 3
+
+
+@pytest.mark.parametrize("likeness", [0.82, 0.85])
+def test_links_within_a_family_of_a_template(spark, likeness):
+    """Pages that share a template, at 0.76 to each other, of which sixty have a partner: nearly all of a page's candidates are false."""
+    rng = random.Random(int(likeness * 100))
+    template = [f"t{i}" for i in range(260)]
+
+    def page(start, n):
+        return template[: start] + [f"u{rng.randrange(10**9)}" for _ in range(n)] + template[start:]
+
+    # Equal sets of s shingles that share c of them have a similarity of c / (2 s - c).
+    pages = [page(130, 36) for _ in range(300)]
+    texts = [" ".join(p) for p in pages]
+    pairs = []
+    for i in range(60):
+        own, other = pages[i], list(pages[i])
+        at = 130
+        while jaccard(" ".join(own), " ".join(other)) > likeness and at < 166:
+            other[at] = f"v{rng.randrange(10**9)}"
+            at += 1
+        if jaccard(" ".join(own), " ".join(other)) < likeness:
+            other[at - 1] = own[at - 1]
+        assert likeness <= jaccard(" ".join(own), " ".join(other)) < likeness + 0.03
+        pairs.append((i, len(texts)))
+        texts.append(" ".join(other))
+    assert 0.7 < jaccard(texts[0], texts[1]) < 0.79
+    got = {r.doc_id: r.component_id for r in simhash.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 58
+    partner = {b: a for a, b in pairs}
+    assert all(got[i] in (i, partner.get(i)) for i in range(len(texts)))  # and no other
+
+
+def test_block_links_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 55, replace=False), rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(40)]
+    rows = [(1, 100 + i, i % 7 if i % 3 else i, s) for i, s in enumerate(sets)]
+    for size in (100, 1 << 22):
+        monkeypatch.setattr(simhash, "SHARED_AT_ONCE", size)
+        for first, second in ((rows, None), (rows[:15], [(2, *r[1:]) for r in rows[15:]])):
+            got, want = simhash.Forest(), simhash.Forest()
+            links = simhash.block_links(first, second, 0.8)
+            for a, b in links:
+                got.join(rows[a - 100][2], rows[b - 100][2])
+            for x in first:
+                for y in second or first:
+                    both = len(np.intersect1d(x[3], y[3]))
+                    if x[2] != y[2] and both >= 0.8 * (len(x[3]) + len(y[3]) - both):
+                        want.join(x[2], y[2])
+            roots = {r[2] for r in rows}
+            assert links and {r: got.root(r) for r in roots} == {r: want.root(r) for r in roots}
+    assert simhash.block_links(rows[:1], None, 0.8) == []
+
+
+def test_all_longs_are_doc_ids(spark):
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(2**63 - 1, text), (2**62 + 7, text), (None, text), (-(2**63), "another text of five words"), (2**62, "one more text of words"), (None, "no name for this text"), (None, "no name for this text")]
+    got = simhash.components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, bits=4, seeds=(42,), blocks=2, least=None).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(2**63 - 1, 2**62 + 7), (2**62 + 7, 2**62 + 7), (None, 2**62 + 7), (-(2**63), -(2**63)), (2**62, 2**62), (None, None), (None, None)], key=str)
