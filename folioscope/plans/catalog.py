@@ -325,10 +325,28 @@ def findings_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(h, "id").select("document_id", "page_number", "keyword_id", "line", "start_at", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 
-@query()
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h, lines = _marks(spark, sf_dir), adapt.lines(spark, sf_dir)
+    facts = findings.line_facts(lines, h)
+    return findings.headings(facts, findings.hit_places(h, findings.matched(facts, h))).join(h, "id")
+
+
+@query(sql.FINDINGS_HEADING)
+def findings_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest segment above each match that may be its heading."""
+    return _headings(spark, sf_dir).select("document_id", "page_number", "keyword_id", "line", "start_at", "nearest")
+
+
+@query(sql.FINDINGS_BLOCK)
+def findings_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole heading of each match."""
+    return _headings(spark, sf_dir).select("document_id", "page_number", "keyword_id", "line", "start_at", "heading")
+
+
+@query(sql.FINDINGS_FULL)
 def findings_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _file_names(spark, sf_dir).select(F.col("doc_id").cast("string").alias("document_id"), F.col("name").alias("original_name"))
-    return findings.findings(_marks(spark, sf_dir), adapt.lines(spark, sf_dir), docs).drop("id")
+    return findings.findings(_marks(spark, sf_dir), adapt.lines(spark, sf_dir), docs).drop("id").withColumn("confidence", F.round("confidence", 6))
 
 
 # Queue --------------------------------------------------------------------------------------------------------------------

@@ -180,6 +180,35 @@ FINDINGS_MATCHED = f"WITH {_FOUND}, {_matched} SELECT document_id, page_number,
 FINDINGS_CONTEXT = f"""WITH {_FOUND}, near AS (SELECT document_id, page_number, line, string_agg(text, ' ' ORDER BY x, i) AS raw FROM words GROUP BY document_id, page_number, line), texts_ AS (SELECT document_id, page_number, line, {cleaned('raw')} AS c FROM near)
 SELECT f.document_id, f.page_number, f.keyword_id, f.line, f.start_at, md5(substr(string_agg(t.c, ' ' ORDER BY t.line), 1, 4000)) AS context_md5 FROM found f JOIN texts_ t ON t.document_id = f.document_id AND t.page_number = f.page_number AND abs(t.line - f.line) <= 1 AND t.c <> ''
 GROUP BY f.document_id, f.page_number, f.keyword_id, f.line, f.start_at"""
+_KEY = "document_id, page_number, keyword_id, line, start_at"
+_heads = rf"""gaps AS (SELECT *, CASE WHEN x - lag(x + width) OVER l > greatest(avg(height) OVER (PARTITION BY document_id, page_number, line) * 2.5, 0.02) THEN 1 ELSE 0 END AS cut FROM words WINDOW l AS (PARTITION BY document_id, page_number, line ORDER BY x, i)),
+runs AS (SELECT *, sum(cut) OVER (PARTITION BY document_id, page_number, line ORDER BY x, i)::INT AS part FROM gaps),
+joined AS (SELECT document_id, page_number, line, part, string_agg(text, ' ' ORDER BY x, i) AS raw, max(y + height) AS bottom, avg(height) AS tall, min(x) AS lft, max(x + width) AS rgt FROM runs GROUP BY ALL),
+segs AS (SELECT *, {cleaned('raw')} AS text FROM joined WHERE (document_id, page_number) IN (SELECT (document_id, page_number) FROM found)),
+heights AS (SELECT document_id, page_number, line, avg(height) AS mine, max(height) AS tallest, min(y) AS top FROM words GROUP BY ALL),
+medians AS (SELECT document_id, page_number, list_sort(list(height))[len(list(height)) // 2 + 1] AS median FROM words WHERE height <> 0 GROUP BY ALL),
+cand AS (SELECT f.document_id, f.page_number, f.keyword_id, f.line, f.start_at, s.line AS at_line, s.part, s.text, s.bottom, s.tall, s.lft, s.rgt, least(s.rgt, f.x + f.width) - greatest(s.lft, f.x) > 0 AS in_column, f.y - s.bottom AS distance
+  FROM found f JOIN segs s ON s.document_id = f.document_id AND s.page_number = f.page_number JOIN heights h ON h.document_id = f.document_id AND h.page_number = f.page_number AND h.line = f.line JOIN medians m ON m.document_id = f.document_id AND m.page_number = f.page_number
+  WHERE s.line < f.line AND s.bottom <= f.y + 0.01 AND f.y - s.bottom <= 0.35 AND length(s.text) BETWEEN 3 AND 250 AND length(regexp_replace(s.text, '[^\p{{L}}]', '', 'g')) >= 3 AND NOT (s.bottom < 0.06 AND s.rgt - s.lft > 0.55)
+    AND (s.tall >= greatest(m.median, h.mine) * 1.16 OR NOT regexp_matches(s.text, '\p{{Ll}}') OR s.text = upper(s.text))),
+first_ AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY in_column DESC, distance, tall DESC, at_line, part) = 1),
+band AS (SELECT c.*, f.at_line = c.at_line AND f.part = c.part AS chosen, f.tall * 1.9 AS most FROM cand c JOIN first_ f USING ({_KEY}) WHERE abs(c.tall - f.tall) <= f.tall * 0.18 AND least(c.rgt, f.rgt) - greatest(c.lft, f.lft) > 0),
+stepped AS (SELECT *, CASE WHEN bottom - lag(bottom) OVER (PARTITION BY {_KEY} ORDER BY bottom, at_line, part) > most THEN 1 ELSE 0 END AS step FROM band),
+grouped AS (SELECT *, sum(step) OVER (PARTITION BY {_KEY} ORDER BY bottom, at_line, part) AS block FROM stepped),
+whole AS (SELECT {_KEY}, substr(string_agg(text, ' ' ORDER BY bottom, at_line, part), 1, 250) AS heading FROM grouped g WHERE block = (SELECT block FROM grouped o WHERE o.chosen AND o.document_id = g.document_id AND o.page_number = g.page_number AND o.keyword_id = g.keyword_id AND o.line = g.line AND o.start_at = g.start_at) GROUP BY {_KEY})"""
+FINDINGS_HEADING = f"WITH {_FOUND}, {_heads} SELECT {_KEY}, text AS nearest FROM first_"
+FINDINGS_BLOCK = f"WITH {_FOUND}, {_heads} SELECT {_KEY}, heading FROM whole"
+FINDINGS_FULL = rf"""WITH {_FOUND}, {_heads}, {_matched},
+near AS (SELECT document_id, page_number, line, string_agg(text, ' ' ORDER BY x, i) AS raw FROM words WHERE (document_id, page_number) IN (SELECT (document_id, page_number) FROM found) GROUP BY ALL),
+shown AS (SELECT document_id, page_number, line, {cleaned('raw')} AS c FROM near),
+around AS (SELECT f.document_id, f.page_number, f.keyword_id, f.line, f.start_at, substr(string_agg(t.c, ' ' ORDER BY t.line), 1, 4000) AS context FROM found f JOIN shown t ON t.document_id = f.document_id AND t.page_number = f.page_number AND abs(t.line - f.line) <= 1 AND t.c <> '' GROUP BY ALL),
+titles AS (SELECT document_id, page_number, c AS title FROM shown JOIN heights USING (document_id, page_number, line) JOIN medians USING (document_id, page_number) WHERE top < 0.4 AND length(c) BETWEEN 3 AND 250 AND tallest >= median * 1.2
+  QUALIFY row_number() OVER (PARTITION BY document_id, page_number ORDER BY tallest DESC, top, line) = 1),
+plain AS (SELECT document_id, page_number, arg_min(t, line) AS title FROM (SELECT document_id, page_number, line, {cleaned('c', 250)} AS t FROM shown) WHERE length(t) >= 3 AND regexp_matches(t, '\p{{L}}') GROUP BY ALL),
+names AS (SELECT doc_id::VARCHAR AS document_id, CASE doc_id % 4 WHEN 3 THEN lpad((doc_id % 31 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '.2024 ' || source || '.pdf' WHEN 2 THEN source || '_notes'
+  ELSE 'My_' || source || '_' || lpad((doc_id % 31 + 1)::VARCHAR, 2, '0') || '.' || lpad((doc_id % 12 + 1)::VARCHAR, 2, '0') || '.2024.pdf' END AS file_name FROM documents)
+SELECT n.file_name, f.document_id, f.page_number, coalesce(w.heading, t.title, p.title, '') AS title, f.keyword, coalesce(nullif(substr({cleaned('m.raw')}, 1, 1000), ''), f.keyword) AS matched_text, coalesce(a.context, '') AS context, 'AUTO' AS source, round(m.confidence, 6) AS confidence
+FROM found f JOIN names n USING (document_id) LEFT JOIN whole w USING ({_KEY}) LEFT JOIN matched m USING ({_KEY}) LEFT JOIN around a USING ({_KEY}) LEFT JOIN titles t ON t.document_id = f.document_id AND t.page_number = f.page_number LEFT JOIN plain p ON p.document_id = f.document_id AND p.page_number = f.page_number"""
 
 _JOBS = """jobs AS (SELECT user_id AS document_id, event_id AS page_number, CASE event_type WHEN 'click' THEN 'PROCESSING' WHEN 'view' THEN 'PENDING' WHEN 'error' THEN 'FAILED' ELSE 'COMPLETE' END AS status,
   (json_extract(props, '$.k')::INT % 4)::INT AS attempts, CASE WHEN event_type IN ('click', 'purchase', 'signup') THEN ts END AS started_at, ts AS created_at, CASE WHEN event_type = 'error' THEN 'code ' || json_extract_string(props, '$.k') END AS error FROM events),
