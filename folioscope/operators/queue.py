@@ -2,31 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscope.sources.shared import shared_path
+
 # Fixed values.
 ATTEMPTS, STALE_SECONDS, PREPARE_BATCH, RETAINED, MESSAGE = 3, 600, 10, 200, 1000
 LOST = "The reader for this page stopped before it finished, and no attempts were left."
 SPENT = "This page ran out of attempts."
 OUTSTANDING = ("PENDING", "PROCESSING")
-#: Bits of the upload numbers that are numbered in one task.
-RANGE_BITS = 20
+#: Documents that are numbered in one task, about, and those of each that tell the ranges.
+RANGE_ROWS, TELLING = 1 << 20, 32
+#: Parts of a stored queue; each has whole documents.
+PARTS = 64
 
 
-def numbered(documents: DataFrame, name: str) -> DataFrame:
-    """documents with their place, from 1, in the order of upload_seq and document_id.
+def _ranges(documents: DataFrame, key: Column, rows: int) -> Column:
+    """The range, from 0, that a row's key lies in. Bounds are keys of rows that a hash of the key chooses, so any two runs agree.
 
-    Upload numbers are given one by one, so a range of 2^20 of them holds a bounded number of documents. Ranges are numbered
-    apart, after the documents of lower ranges; the only window over everything is over one row a range.
+    Bounds are compared in two steps, some of every so many first, so a row is compared with twice the root of their number.
     """
-    ranged = documents.withColumn("__range", F.coalesce(F.shiftright(F.col("upload_seq").cast("long"), RANGE_BITS), F.lit(-(1 << 44))))
+    n = -(-documents.count() // rows)
+    if n <= 1:
+        return F.lit(0)
+    chosen = F.pmod(F.xxhash64(key), F.lit(rows)) < TELLING
+    sample = documents.filter(chosen).select(key.alias("k")).distinct().sort("k").collect()  # TELLING a range, about
+    bounds = [r.k for r in sample[TELLING - 1 :: TELLING]] if len(sample) > TELLING else [r.k for r in sample]
+    if not bounds:
+        return F.lit(0)
+    kinds = documents.select(key.alias("k")).schema["k"].dataType
+    value = lambda k: F.struct(*(F.lit(k[f.name]).cast(f.dataType).alias(f.name) for f in kinds.fields))
+    step = math.isqrt(len(bounds) - 1) + 1
+    fine = F.array(*(F.array(*map(value, bounds[i : i + step])) for i in range(0, len(bounds), step)))
+    coarse = F.array(*map(value, bounds[::step]))
+    at = F.size(F.filter(coarse, lambda b: b <= key))
+    return F.when(at == 0, 0).otherwise((at - 1) * step + F.size(F.filter(F.get(fine, at - 1), lambda b: b <= key)))
+
+
+def numbered(documents: DataFrame, name: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """documents with their place, from 1, in the order of upload_seq (null first) and document_id.
+
+    Ranges of about `rows` documents each are numbered apart, after the documents of lower ranges, whatever the upload numbers
+    are: sparse, repeated, time stamps or null. The only window over everything is over one row a range.
+    """
+    key = F.struct("upload_seq", "document_id")
+    ranged = documents.withColumn("__range", _ranges(documents, key, rows))
     lower = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     before = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n")).select("__range", F.coalesce(F.sum("__n").over(lower), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__range").orderBy("upload_seq", "document_id"))
     return ranged.withColumn("__own", own).join(before, "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__before", "__own")
 
 
+def part_of(document_id: Column, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(document_id.cast("string")), F.lit(parts)).cast("int")
+
+
+def store(pages: DataFrame, path: str) -> None:
+    """pages as a stored queue: Parquet cut by a hash of the document."""
+    cut = pages.withColumn("part", part_of(F.col("document_id")))
+    cut.repartition("part").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, part int").parquet(path).drop("part")
+
+
+def save_changes(spark: SparkSession, path: str, schema: str, changes: DataFrame) -> list[int]:
+    """Writes pages that changed (whole rows of the schema) into a stored queue and gives the parts that were written anew.
+
+    Only those parts are read and replaced, each as a whole; a page that isn't stored yet is added. The rows are put aside first,
+    in the shared folder, so what is read is not what is replaced, and a try that is run again writes the same.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
+    mine = changes.select(*columns).withColumn("part", part_of(F.col("document_id")))
+    parts = sorted(r.part for r in mine.select("part").distinct().collect())  # PARTS at most
+    if not parts:
+        return parts
+    old = spark.read.schema(f"{schema}, part int").parquet(path).filter(F.col("part").isin(parts))
+    new = old.join(mine.select("document_id", "page_number"), ["document_id", "page_number"], "left_anti").select(*columns, "part").unionByName(mine)
+    aside = shared_path(spark, "queue")
+    new.write.parquet(aside)
+    spark.read.schema(new.schema).parquet(aside).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return parts
+
+
 def claimable(pages: DataFrame, documents: DataFrame, attempts: int = ATTEMPTS) -> DataFrame:
     """Pending pages with attempts left, of prepared documents, with the documents' upload_seq."""
     ready = documents.filter("prepared_at IS NOT NULL").select("document_id", "upload_seq")

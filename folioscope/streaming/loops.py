@@ -15,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from folioscope.functions.text import line_key, trimmed
 from folioscope.operators import queue, search
 from folioscope.operators.queue import ATTEMPTS, LOST, MESSAGE, PREPARE_BATCH, SPENT, STALE_SECONDS, live_only
+from folioscope.sources.shared import shared_path
 
 
 def upload_stream(spark: SparkSession, path: str, schema: str, batch: int = PREPARE_BATCH) -> DataFrame:
@@ -47,14 +48,8 @@ def recognition_loop(pages: DataFrame, reader, schema: str, live: DataFrame, out
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def claiming_loop(ticks: DataFrame, load, save, reader, schema: str, limit: int, worker: str, out: str, checkpoint: str):  # noqa: ANN001, ANN201
-    """A reader's loop over the page queue: each batch of ticks (any stream) claims up to `limit` pages, reads them and saves the queue.
-
-    load(number) gives (pages, documents) as they were before that batch, save(pages, number) writes the pages after it in
-    place of an earlier try, so a batch that is run again claims the same pages. reader() is called once a task and gives a
-    function from a page to its row of the schema; if that raises, the page fails with the message and waits for its next
-    attempt, or has none left.
-    """
+def _reading(reader, schema: str):  # noqa: ANN001, ANN202
+    """A function for mapInPandas from claimed pages to rows of the schema, and the error of those that a reader failed at."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -68,11 +63,22 @@ def claiming_loop(ticks: DataFrame, load, save, reader, schema: str, limit: int,
                     rows.append((row["document_id"], row["page_number"], *[None] * (len(names) - 2), str(e)[:MESSAGE] or type(e).__name__))
             yield pd.DataFrame(rows, columns=[*names, "error"])
 
+    return read
+
+
+def claiming_loop(ticks: DataFrame, load, save, reader, schema: str, limit: int, worker: str, out: str, checkpoint: str):  # noqa: ANN001, ANN201
+    """A reader's loop over the page queue: each batch of ticks (any stream) claims up to `limit` pages, reads them and saves the queue.
+
+    load(number) gives (pages, documents) as they were before that batch, save(pages, number) writes the pages after it in
+    place of an earlier try, so a batch that is run again claims the same pages. reader() is called once a task and gives a
+    function from a page to its row of the schema; if that raises, the page fails with the message and waits for its next
+    attempt, or has none left.
+    """
     def one(batch: DataFrame, number: int) -> None:
         pages, documents = load(number)
         where = f"{out}/batch={number}"
         now = F.current_timestamp()
-        queue.claim(pages, documents, limit, now, worker).mapInPandas(read, f"{schema}, error string").write.mode("overwrite").parquet(where)
+        queue.claim(pages, documents, limit, now, worker).mapInPandas(_reading(reader, schema), f"{schema}, error string").write.mode("overwrite").parquet(where)
         results = batch.sparkSession.read.schema(f"{schema}, error string").parquet(where)
         mine = F.coalesce(F.col("__mine"), F.lit(False))
         held = pages.join(results.select("document_id", "page_number", F.lit(True).alias("__mine")), ["document_id", "page_number"], "left")
@@ -83,6 +89,36 @@ def claiming_loop(ticks: DataFrame, load, save, reader, schema: str, limit: int,
     return ticks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_claiming_loop(ticks: DataFrame, path: str, schema: str, documents: Callable[[], DataFrame], reader, results: str, limit: int, worker: str, out: str, checkpoint: str):  # noqa: ANN001, ANN201
+    """claiming_loop over a stored queue (queue.store, with the schema) of which a batch rewrites only the parts of the documents that it touched.
+
+    A batch puts what it claimed and what became of it in out/batch=..., which is written once: a batch that is run again
+    finds it there and saves the same changes, however often the queue was read since. results is the schema of reader()'s rows.
+    """
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark, where = batch.sparkSession, f"{out}/batch={number}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+        if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+            pages, now = queue.stored(spark, path, schema), F.current_timestamp()
+            claimed = queue.claim(pages, documents(), limit, now, worker)
+            kept = [c for c in names if c in claimed.columns]
+            aside = shared_path(spark, "claims")
+            claimed.select(*kept).write.parquet(aside)
+            claimed = spark.read.parquet(aside)
+            read = claimed.mapInPandas(_reading(reader, results), f"{results}, error string")
+            answers = shared_path(spark, "answers")
+            read.write.parquet(answers)
+            read = spark.read.schema(f"{results}, error string").parquet(answers)
+            failed = read.filter("error IS NOT NULL").select("document_id", "page_number", F.col("error").alias("message"), F.lit(False).alias("permanent"))
+            after = queue.fail(queue.complete(claimed, read.filter("error IS NULL").drop("error")), failed)
+            after.select(*(F.col(c) if c in after.columns else F.lit(None).alias(c) for c in names)).write.mode("overwrite").parquet(where)
+        queue.save_changes(spark, path, schema, spark.read.schema(schema).parquet(where))
+
+    return ticks.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def search_loop(lines: DataFrame, keywords: Callable[[], DataFrame], out: str, checkpoint: str):  # noqa: ANN201
     """Highlights of a stream of finished lines (LINES), before their documents are done; keywords() gives the keywords of the time of each batch."""
 
@@ -100,7 +136,8 @@ def page_states(events: DataFrame, seconds: float = STALE_SECONDS, clock: bool =
     """The latest state of each page of a stream of events (document_id, page_number, kind, ts: seconds; message, if there is one).
 
     Claims spend attempts, releases refund them, and a page that stopped is given back or fails: by the time of its next
-    event, or by the clock if none comes within `seconds`. A page that waits without attempts left fails. A stream with a
+    event, or by the clock if none comes within `seconds`. A page that waits without attempts left fails. A complete page is
+    forgotten, so the state holds the pages that are still open or failed; an event after that begins anew. A stream with a
     clock always has a next batch, so one that is to end (trigger availableNow) needs clock=False.
     """
 
@@ -123,9 +160,12 @@ def page_states(events: DataFrame, seconds: float = STALE_SECONDS, clock: bool =
                     status, attempts = "PENDING", max(0, attempts - 1)
         if status == "PENDING" and attempts >= ATTEMPTS:
             status, error = "FAILED", error or SPENT
-        state.update((status, attempts, started, error))
-        if clock and status == "PROCESSING":
-            state.setTimeoutDuration(int(seconds * 1000))
+        if status == "COMPLETE":
+            state.remove()
+        else:
+            state.update((status, attempts, started, error))
+            if clock and status == "PROCESSING":
+                state.setTimeoutDuration(int(seconds * 1000))
         yield pd.DataFrame([(*key, status, attempts, error)], columns=[c.split()[0] for c in SWEPT.split(", ")])
 
     return events.groupBy("document_id", "page_number").applyInPandasWithState(sweep, SWEPT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if clock else GroupStateTimeout.NoTimeout)

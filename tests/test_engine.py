@@ -107,7 +107,7 @@ def test_trigrams_equal_the_plain_way(spark):
 
 def test_places_are_numbered_by_ranges(spark):
     rows = [(i, seq) for i, seq in enumerate([5, None, 1 << 21, (1 << 21) + 1, 1 << 40, 3, 3, -7, (1 << 20) - 1, 1 << 20])]
-    got = queue.numbered(spark.createDataFrame(rows, "document_id int, upload_seq long"), "place").collect()
+    got = queue.numbered(spark.createDataFrame(rows, "document_id int, upload_seq long"), "place", rows=3).collect()
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[0]))
     assert [r.document_id for r in sorted(got, key=lambda r: r.place)] == [r[0] for r in want] and sorted(r.place for r in got) == list(range(1, 11))
 

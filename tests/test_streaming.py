@@ -48,6 +48,7 @@ def test_page_states(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     q = loops.page_states(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), clock=False).writeStream.format("memory").queryName("page_states").outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
     q.awaitTermination(180)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 3  # the complete page is forgotten
     got = {r.page_number: (r.status, r.attempts) for r in spark.sql("select * from page_states").collect()}
     assert got == {1: ("COMPLETE", 1), 2: ("PENDING", 0), 3: ("FAILED", 3), 4: ("PENDING", 1)}
 
