@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioscope.functions.glyphs import CAPITAL, DIGIT, OTHER, WIDTH_OF
+from folioscope.functions.glyphs import chars, glyph_width
+from folioscope.functions.text import let
 
 # Fixed values.
 VOWELS = "aeiouəıöüAEIOUƏIİÖÜ"
 LEAST_GAP, SCALE_RANK, MOST_INSERTED, LEAST_PAIRS = 0.30, 0.4, 2, 3
 MISREAD_CAPITAL = "∃∀"
-REPAIR = T.StructType([T.StructField("text", T.StringType()), T.StructField("char_offsets", T.ArrayType(T.DoubleType())), T.StructField("inserted", T.IntegerType())])
 
 
 def needs_repair(languages: Column) -> Column:
@@ -48,54 +43,50 @@ def lone_consonants(s: Column) -> Column:
     return F.regexp_replace(s, r"(^|[^\p{L}])([\p{Ll}&&[^aeiouəıöü]])(?=$|[^\p{L}])", "$1$2ə")
 
 
-def _width(c: str) -> float:
-    return WIDTH_OF.get(c) or (DIGIT if "0" <= c <= "9" else CAPITAL if c.isupper() else OTHER)
-
-
-def _restored(text: str | None, offsets) -> tuple:  # noqa: ANN001
-    if text is None:
-        return None, None, 0
-    text = "".join("Ə" if c in MISREAD_CAPITAL else c for c in text)
-    at = [] if offsets is None else [float(x) for x in offsets]
-    if len(at) != len(text) or len(text) < 2:
-        return text, at, 0
-    gaps = {}
-    for i, (a, b) in enumerate(zip(text, text[1:], strict=False)):
-        if a.isalpha() and b.isalpha():
-            gaps[i] = (at[i + 1] - at[i], (_width(a) + _width(b)) / 2)
-    open_ = [i for i in gaps if text[i] not in VOWELS and text[i + 1] not in VOWELS]
-    ranked = sorted(g / w for g, w in gaps.values())
-    scale = ranked[math.floor((len(ranked) - 1) * SCALE_RANK + 0.5)] if ranked else 0
-    if len(gaps) < LEAST_PAIRS or not open_ or not scale > 0:
-        return text, at, 0
-    out, places, added = [], [], 0
-    for i, c in enumerate(text):
-        out.append(c)
-        places.append(at[i])
-        if i not in open_:
-            continue
-        gap, width = gaps[i]
-        missing = gap / scale - width
-        if missing < LEAST_GAP:
-            continue
-        schwa = "Ə" if c.isupper() and text[i + 1].isupper() else "ə"
-        n = min(MOST_INSERTED, max(1, math.floor(missing / _width(schwa))))
-        out += schwa * n
-        places += [at[i] + gap * k / (n + 1) for k in range(1, n + 1)]
-        added += n
-    return "".join(out), places, added
-
-
-@F.pandas_udf(REPAIR)
-def restored_schwa(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Schwas where the centres of two consonants lie further apart than their widths explain, on the line's own scale."""
-    for texts, offsets in parts:
-        yield pd.DataFrame([_restored(t, o) for t, o in zip(texts, offsets, strict=True)], columns=["text", "char_offsets", "inserted"])
+def restored_schwa(text: Column, offsets: Column) -> Column:
+    """struct(text, char_offsets, inserted): schwas where the centres of two consonants lie further apart than their widths explain.
+
+    Only the line's scale is shared, a low rank of all gaps between letters by their widths; each place is then judged by itself.
+    Offsets that don't fit the text, and texts without enough gaps, are left as they are; a null text stays null.
+    """
+    letter, capital = (lambda c: F.coalesce(c.rlike(r"^\p{L}$"), F.lit(False))), (lambda c: F.coalesce(c.rlike(r"^\p{Lu}$"), F.lit(False)))
+    vowel = lambda c: F.lit(VOWELS).contains(c)
+
+    def measured(x: Column) -> Column:
+        """For each character but the last: whether a gap between letters follows, whether a schwa may be in it, the gap and what explains it."""
+        c, at, wide = x["c"], x["at"], x["wide"]
+        pair = lambda i: F.struct((letter(F.get(c, i)) & letter(F.get(c, i + 1))).alias("ok"), (~vowel(F.get(c, i)) & ~vowel(F.get(c, i + 1))).alias("open"), (F.get(at, i + 1) - F.get(at, i)).alias("gap"), ((F.get(wide, i) + F.get(wide, i + 1)) / 2).alias("expected"), F.when(capital(F.get(c, i)) & capital(F.get(c, i + 1)), "Ə").otherwise("ə").alias("schwa"))
+        return F.transform(F.sequence(F.lit(0), F.size(c) - 2), pair)
+
+    def counted(x: Column, pairs: Column) -> Column:
+        told = F.filter(pairs, lambda p: p["ok"])
+        scale = nearest_rank(F.array_sort(F.transform(told, lambda p: p["gap"] / p["expected"])), SCALE_RANK)
+        enough = (F.size(told) >= LEAST_PAIRS) & F.exists(told, lambda p: p["open"])
+        missing = lambda p, s: p["gap"] / s - p["expected"]
+        many = lambda p, s: F.when(p["ok"] & p["open"] & (missing(p, s) >= LEAST_GAP), F.least(F.lit(MOST_INSERTED), F.greatest(F.lit(1), F.floor(missing(p, s) / glyph_width(p["schwa"])).cast("int")))).otherwise(0)
+        return let(scale, lambda s: F.transform(pairs, lambda p: F.when(enough & (s > 0), many(p, s)).otherwise(0)))
+
+    def filled(x: Column, pairs: Column, n: Column) -> Column:
+        c, at = x["c"], x["at"]
+        times = lambda i: F.coalesce(F.get(n, i), F.lit(0))
+        out = F.array_join(F.transform(c, lambda v, i: F.concat(v, F.repeat(F.coalesce(F.get(pairs, i)["schwa"], F.lit("")), times(i)))), "")
+        places = lambda v, i: F.concat(F.array(v), F.when(times(i) > 0, F.transform(F.sequence(F.lit(1), F.greatest(times(i), F.lit(1))), lambda k: v + F.get(pairs, i)["gap"] * k / (times(i) + 1))).otherwise(F.array().cast("array<double>")))
+        return F.struct(out.alias("text"), F.flatten(F.transform(at, places)).alias("char_offsets"), F.aggregate(n, F.lit(0), lambda a, v: a + v).alias("inserted"))
+
+    def by(x: Column) -> Column:
+        same = F.struct(x["t"].alias("text"), x["at"].alias("char_offsets"), F.lit(0).alias("inserted"))
+        work = let(measured(x), lambda p: let(counted(x, p), lambda n: filled(x, p, n)))
+        return F.when((F.size(x["at"]) == F.size(x["c"])) & (F.size(x["c"]) >= 2), work).otherwise(same)
+
+    told = F.translate(text, MISREAD_CAPITAL, "Ə" * len(MISREAD_CAPITAL))
+    held = let(told, lambda t: F.struct(t.alias("t"), chars(t).alias("c"), F.coalesce(offsets.cast("array<double>"), F.array().cast("array<double>")).alias("at"), F.transform(chars(t), glyph_width).alias("wide")))
+    nothing = F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("array<double>").alias("char_offsets"), F.lit(0).alias("inserted"))
+    return F.when(text.isNull(), nothing).otherwise(let(held, by))
 
 
 def repaired_lines(lines, languages: Column):  # noqa: ANN001, ANN201
     """lines (text, char_offsets, ...) repaired where the languages ask for it; offsets that no longer fit become null."""
-    asked = lines.withColumn("__repair", F.when(needs_repair(languages), restored_schwa("text", "char_offsets")))
+    asked = lines.withColumn("__repair", F.when(needs_repair(languages), restored_schwa(F.col("text"), F.col("char_offsets"))))
     text = lone_consonants(umlauts(F.col("__repair.text")))
     asked = asked.withColumn("__text", F.coalesce(text, F.col("text")))
     same = F.col("__text") == F.col("text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions import repair, text
+from folioscope.functions import encoding, glyphs, repair, text
 from folioscope.operators import keywords, layout, queue, search, status
 from folioscope.plans import sql
 from folioscope.plans.catalog import query
@@ -157,3 +157,35 @@ def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scale of a line: an element at a rounded place."""
     d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_quantity").cast("double"))).alias("q"))
     return d.select("l_orderkey", repair.nearest_rank(F.col("q"), 0.4).alias("quantity"))
+
+
+_LEGACY = ("abvqdejziklmnoprstuf", "àáâãäåæçèêëìíîïðñòóô")
+
+
+@query(rf"""WITH raw AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{sql.TOKEN}') AS t FROM documents)),
+damaged AS (SELECT doc_id, pos, CASE WHEN doc_id % 3 = 0 AND pos % 2 = 0 THEN translate(w, '{_LEGACY[0]}', '{_LEGACY[1]}') ELSE w END AS w FROM raw),
+pages_ AS (SELECT doc_id, pos // 240 + 1 AS page_number, string_agg(w, ' ' ORDER BY pos) AS s, count(*) FILTER (WHERE {sql.decoded('w')} <> w)::INT AS alone FROM damaged GROUP BY doc_id, pos // 240)
+SELECT doc_id::VARCHAR AS document_id, page_number::INT AS page_number, {sql.has_bytes('s')} OR {sql.has_cyrillic('s')} AS repaired, alone, md5({sql.decoded('s')}) AS words_md5 FROM pages_""")
+def legacy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of whose words every second one, in a third of the documents, is in a legacy font: the page decides for its words. alone: words that would be decoded by themselves."""
+    tokens = F.transform(F.regexp_extract_all("text", F.lit(adapt.WORD), F.lit(0)), lambda t, i: F.when((F.col("doc_id") % 3 == 0) & (i % 2 == 0), F.translate(t, *_LEGACY)).otherwise(t))
+    pages = adapt.page_slices(table(spark, sf_dir, "documents"), tokens).withColumn("r", encoding.repaired_page(F.col("tokens")))
+    alone = F.size(F.filter("tokens", lambda t: encoding.decoded(t) != t))
+    return pages.select("document_id", "page_number", "r.repaired", alone.alias("alone"), F.md5(F.array_join("r.words", " ").cast("binary")).alias("words_md5"))
+
+
+@query(rf"""WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c, unnest(range(length(p_name))) AS i FROM part), w AS (SELECT *, {sql.width('c')} AS w FROM c),
+placed AS (SELECT *, sum(w) OVER (PARTITION BY p_partkey ORDER BY i) - w / 2 AS at_ FROM w),
+kept AS (SELECT *, lead(c) OVER o AS d, lead(at_) OVER o - at_ AS gap, (w + lead(w) OVER o) / 2 AS expected FROM placed WHERE c NOT IN ('a', 'e') WINDOW o AS (PARTITION BY p_partkey ORDER BY i)),
+pairs AS (SELECT *, coalesce(regexp_matches(c, '\p{{L}}') AND regexp_matches(d, '\p{{L}}'), false) AS ok, NOT contains('{repair.VOWELS}', c) AND NOT contains('{repair.VOWELS}', d) AS open_ FROM kept),
+scales AS (SELECT p_partkey, count(*) FILTER (ok) AS n, bool_or(ok AND open_) AS some, list_sort(list(gap / expected) FILTER (ok))[floor((count(*) FILTER (ok) - 1) * 0.4 + 0.5)::INT + 1] AS scale FROM pairs GROUP BY p_partkey),
+filled AS (SELECT p.*, CASE WHEN s.n >= 3 AND s.some AND s.scale > 0 AND ok AND open_ AND gap / scale - expected >= 0.30 THEN least(2, greatest(1, floor((gap / scale - expected) / CASE WHEN regexp_matches(c, '\p{{Lu}}') AND regexp_matches(d, '\p{{Lu}}') THEN 0.63 ELSE 0.61 END)))::INT ELSE 0 END AS times,
+  CASE WHEN regexp_matches(c, '\p{{Lu}}') AND coalesce(regexp_matches(d, '\p{{Lu}}'), false) THEN 'Ə' ELSE 'ə' END AS schwa FROM pairs p JOIN scales s USING (p_partkey))
+SELECT p_partkey, string_agg(c || repeat(schwa, times), '' ORDER BY i) AS text, sum(times)::INT AS inserted, round(sum(at_ + CASE times WHEN 1 THEN at_ + gap / 2 WHEN 2 THEN 2 * at_ + gap ELSE 0 END), 4) AS offsets FROM filled GROUP BY p_partkey""")
+def schwa_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names whose letters a and e were lost, with the places of those that are left; offsets: their sum with the restored ones'."""
+    p = table(spark, sf_dir, "part").select("p_partkey", glyphs.chars(F.col("p_name")).alias("c"), glyphs.width_prefix(F.col("p_name")).alias("ends"))
+    placed = F.transform("c", lambda c, i: F.struct(c.alias("c"), (F.get("ends", i + 1) - glyphs.glyph_width(c) / 2).alias("at")))
+    p = p.select("p_partkey", F.filter(placed, lambda x: ~x["c"].isin("a", "e")).alias("k"))
+    r = p.select("p_partkey", repair.restored_schwa(F.array_join(F.transform("k", lambda x: x["c"]), ""), F.transform("k", lambda x: x["at"])).alias("r")).filter("r.text <> ''")
+    return r.select("p_partkey", "r.text", "r.inserted", F.round(F.aggregate("r.char_offsets", F.lit(0.0), lambda a, x: a + x), 4).alias("offsets"))

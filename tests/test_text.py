@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from folioscope.functions import dates, encoding, glyphs, repair, text
+from folioscope.functions.glyphs import CAPITAL, DIGIT, OTHER, WIDTH_OF
 
 
 
@@ -83,7 +84,7 @@ def test_repairs(spark):
 
 
 def centres(s):
-    widths = [repair._width(c) for c in s]
+    widths = [WIDTH_OF.get(c) or (DIGIT if "0" <= c <= "9" else CAPITAL if c.isupper() else OTHER) for c in s]
     at, out = 0.0, []
     for w in widths:
         out.append((at + w / 2) / sum(widths))
@@ -95,7 +96,7 @@ def test_schwas(spark):
     full = "məktəb salam dostlar"
     lines = [("mktb salam dostlar", [c for c, x in zip(centres(full), full, strict=True) if x != "ə"]), ("mktb", [c for c, x in zip(centres("məktəb"), "məktəb", strict=True) if x != "ə"]), ("∃v", None), ("short", [0.1])]
     df = spark.createDataFrame(lines, "text string, char_offsets array<double>").withColumn("n", F.monotonically_increasing_id())
-    got = [r.o for r in df.coalesce(1).select("n", repair.restored_schwa("text", "char_offsets").alias("o")).orderBy("n").collect()]
+    got = [r.o for r in df.coalesce(1).select("n", repair.restored_schwa(F.col("text"), F.col("char_offsets")).alias("o")).orderBy("n").collect()]
     assert [g.text for g in got] == ["məktəb salam dostlar", "mktb", "Əv", "short"]
     assert got[0].inserted == 2 and len(got[0].char_offsets) == len(full)
     done = repair.repaired_lines(df, F.lit("aze")).orderBy("n").collect()
@@ -108,3 +109,57 @@ def test_glyphs_and_ranks(spark):
     assert of(spark, ["ab"], glyphs.width_prefix) == [[0.0, 0.61, pytest.approx(1.25)]]
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],), ([],)], "a array<double>")
     assert [r.o for r in df.select(repair.nearest_rank(F.col("a"), 0.4).alias("o")).collect()] == [2.0, 0.0]
+
+
+def plain_restored(text_, offsets):
+    if text_ is None:
+        return None, None, 0
+    text_ = "".join("Ə" if c in "∃∀" else c for c in text_)
+    at = list(offsets or [])
+    width = lambda c: WIDTH_OF.get(c) or (DIGIT if "0" <= c <= "9" else CAPITAL if c.isupper() else OTHER)
+    gaps = {i: (at[i + 1] - at[i], (width(a) + width(b)) / 2) for i, (a, b) in enumerate(zip(text_, text_[1:], strict=False)) if len(at) == len(text_) and a.isalpha() and b.isalpha()}
+    open_ = [i for i in gaps if text_[i] not in repair.VOWELS and text_[i + 1] not in repair.VOWELS]
+    ranked = sorted(g / w for g, w in gaps.values())
+    scale = ranked[int((len(ranked) - 1) * 0.4 + 0.5)] if ranked else 0
+    if len(gaps) < 3 or not open_ or not scale > 0:
+        return text_, at, 0
+    out, places, added = "", [], 0
+    for i, c in enumerate(text_):
+        out, places = out + c, [*places, at[i]]
+        if i in open_ and gaps[i][0] / scale - gaps[i][1] >= 0.30:
+            schwa = "Ə" if c.isupper() and text_[i + 1].isupper() else "ə"
+            n = min(2, max(1, int((gaps[i][0] / scale - gaps[i][1]) // width(schwa))))
+            out, added = out + schwa * n, added + n
+            places += [at[i] + gaps[i][0] * k / (n + 1) for k in range(1, n + 1)]
+    return out, places, added
+
+
+def test_schwas_equal_the_rule_step_by_step(spark):
+    import random
+
+    rng = random.Random(31)
+    rows = [(None, None), ("", []), ("a", [0.1]), ("mktb", None), ("∃∀", [0.1, 0.2]), ("bbb", [0.3, 0.2, 0.1]), ("bdf", [0.1, 0.1, 0.1])]
+    for _ in range(300):
+        t = "".join(rng.choice("abdkLMTəüÉ 7∃") for _ in range(rng.randint(1, 14)))
+        at, x = [], 0.0
+        for _ in t:
+            x += rng.choice([0.5, 0.6, 0.7, 1.3, 2.1])
+            at.append(x)
+        rows.append((t, at if rng.random() < 0.9 else at[1:]))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, o array<double>").select("i", repair.restored_schwa(F.col("t"), F.col("o")).alias("r"))
+    assert "Python" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.i: (r.r.text, r.r.char_offsets, r.r.inserted) for r in df.collect()}
+    for i, (t, o) in enumerate(rows):
+        want = plain_restored(t, o)
+        assert (got[i][0], got[i][2]) == (want[0], want[2]), (t, o)
+        assert got[i][1] == (want[1] if want[1] is None else pytest.approx(want[1]))
+    assert sum(g[2] > 0 for g in got.values()) > 50
+
+
+def test_a_page_decides_for_its_words(spark):
+    pages = [["ñà", "ëì", "plain", "àá"], ["plain", None, "ñ"], [], None, ["сал", "ам", "x"], ["é"] * 2]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, w array<string>").select("i", encoding.repaired_page(F.col("w")).alias("r"))
+    got = {r.i: (r.r.words, r.r.repaired) for r in df.collect()}
+    assert got[0] == (["sa", "lm", "plain", "ab"], True) and got[1] == (pages[1], False) and got[2] == ([], False) and got[3][0] is None
+    assert got[4] == (["sal", "am", "x"], True) and got[5] == (pages[5], False)
+    assert of(spark, ["ñà"], encoding.decoded) == ["ñà"]  # alone it wouldn't be told
