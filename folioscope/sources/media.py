@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -120,3 +121,43 @@ def jdbc_table(spark: SparkSession, url: str, name: str, partition: tuple[str, i
 def append_table(rows: DataFrame, url: str, name: str, **options: str) -> None:
     """Appends rows to a table of a database, in one job."""
     rows.write.format("jdbc").option("url", url).option("dbtable", name).options(**options).mode("append").save()
+
+
+def publish_table(rows: DataFrame, url: str, name: str, run: str, marks: str = "published_runs", **options: str) -> bool:
+    """Rows come into a table of a database all together or not at all, once for each run; gives whether this call did it.
+
+    Tasks write into a table of the run's own, which a later try replaces. One transaction then takes all of its rows over and
+    notes the run in `marks` (run_id, its key), so a job that dies before leaves nothing in the table, a run that is noted
+    changes nothing more, and of two jobs that publish the same run at once one fails as a whole.
+    """
+    if not re.fullmatch(r"[A-Za-z0-9_]{1,40}", run) or not all(re.fullmatch(r"[A-Za-z_][A-Za-z0-9_.]*", x) for x in (name, marks)):
+        raise ValueError("a run has letters, digits and underscores, a table's name dots too")
+    spark, aside = rows.sparkSession, f"{name}_run_{run}"
+    properties = spark._jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, v)
+    connection = spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+    try:
+        connection.setAutoCommit(False)
+        said = connection.createStatement()
+        if not connection.getMetaData().getTables(None, None, marks.upper(), None).next() and not connection.getMetaData().getTables(None, None, marks, None).next():
+            said.execute(f"CREATE TABLE {marks} (run_id VARCHAR(40) NOT NULL PRIMARY KEY)")
+            connection.commit()
+        if said.executeQuery(f"SELECT run_id FROM {marks} WHERE run_id = '{run}'").next():
+            return False
+        connection.commit()
+        rows.write.format("jdbc").option("url", url).option("dbtable", aside).options(**options).mode("overwrite").save()
+        columns = ", ".join(f'"{c}"' for c in rows.columns)
+        try:
+            said.execute(f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {aside}")
+            said.execute(f"INSERT INTO {marks} (run_id) VALUES ('{run}')")
+            connection.commit()
+        except Exception:
+            connection.rollback()
+            raise
+        said.execute(f"DROP TABLE {aside}")
+        connection.commit()
+        return True
+    finally:
+        connection.rollback()
+        connection.close()
