@@ -289,6 +289,14 @@ def search_replace_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.replace_auto(_manual(spark, sf_dir), found, ids).groupBy("document_id", "source", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(sql.SEARCHED_DOCUMENTS)
+def searched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many highlights each document has that was asked for: unknown ones and those that wait, a third, have no row."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.when(F.col("doc_id") % 3 == 0, "PENDING").when(F.col("doc_id") % 3 == 1, "PROCESSING").otherwise("COMPLETE").alias("ocr_status"))
+    asked = docs.select("document_id").unionByName(docs.select(F.concat(F.lit("no-"), "document_id").alias("document_id")))
+    return search.searched_documents(docs, asked, adapt.phrases(spark, sf_dir), _found(spark, sf_dir))
+
+
 @query(sql.HIGHLIGHT_BOXES_PX)
 def highlight_boxes_px(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = search.image_boxes(_found(spark, sf_dir), F.lit(1654.0), F.lit(2339.0))

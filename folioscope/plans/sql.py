@@ -176,6 +176,7 @@ HIGHLIGHT_VALID = """SELECT p_partkey, CASE WHEN p_size - 1 <= 0 THEN 'page_numb
   WHEN length(p_name) > 250 THEN 'keyword' WHEN p_retailprice / 2000 + p_size / 50.0::DOUBLE > 1.001 THEN 'outside the page' END AS error FROM part"""
 _matched = f"""matched AS (SELECT h.document_id, h.page_number, h.keyword_id, h.line, h.start_at, string_agg(w.text, ' ' ORDER BY w.x, w.i) AS raw, avg(w.confidence) AS confidence
   FROM found h JOIN words w ON w.document_id = h.document_id AND w.page_number = h.page_number AND least(w.x + w.width, h.x + h.width) - greatest(w.x, h.x) > 0 AND least(w.y + w.height, h.y + h.height) - greatest(w.y, h.y) > 0 GROUP BY h.document_id, h.page_number, h.keyword_id, h.line, h.start_at)"""
+SEARCHED_DOCUMENTS = f"WITH {_FOUND} SELECT d.doc_id::VARCHAR AS document_id, coalesce(n, 0)::BIGINT AS n_highlights FROM documents d LEFT JOIN (SELECT document_id, count(*) AS n FROM found GROUP BY document_id) c ON c.document_id = d.doc_id::VARCHAR WHERE d.doc_id % 3 <> 0"
 FINDINGS_MATCHED = f"WITH {_FOUND}, {_matched} SELECT document_id, page_number, keyword_id, line, start_at, line AS match_line, substr({cleaned('raw')}, 1, 1000) AS matched_text, round(confidence, 6) AS confidence FROM matched"
 FINDINGS_CONTEXT = f"""WITH {_FOUND}, near AS (SELECT document_id, page_number, line, string_agg(text, ' ' ORDER BY x, i) AS raw FROM words GROUP BY document_id, page_number, line), texts_ AS (SELECT document_id, page_number, line, {cleaned('raw')} AS c FROM near)
 SELECT f.document_id, f.page_number, f.keyword_id, f.line, f.start_at, md5(substr(string_agg(t.c, ' ' ORDER BY t.line), 1, 4000)) AS context_md5 FROM found f JOIN texts_ t ON t.document_id = f.document_id AND t.page_number = f.page_number AND abs(t.line - f.line) <= 1 AND t.c <> ''
