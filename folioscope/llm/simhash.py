@@ -55,8 +55,10 @@ MATRIX = 1 << 20
 WIDE_LINKS = 6
 #: Links that a task holds before it chooses among them; what is left out is crowded.
 PENDING = 200_000
+#: Added to the distance of a forest's link whose node a, or b, is crowded.
+CROWDED_A, CROWDED_B = 1 << 12, 1 << 13
 #: Documents, and shingles, of a block of a crowded family.
-BLOCK_NODES, BLOCK_SHINGLES = 512, 1 << 19
+BLOCK_NODES, BLOCK_SHINGLES = 256, 1 << 18
 #: Shingles that two blocks share, by documents, whose presence is held at once: 4 bytes each.
 SHARED_AT_ONCE = 1 << 22
 #: First stand-in for a missing doc_id.
@@ -266,7 +268,7 @@ class Forest:
 
 
 def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
-    """(a, b, d, tree): for each task, links that connect the nodes that met at its anchors (tree); many: besides, the nearest b of each a, and (a, a) for a node with links that were left out. Of a link that is left out both nodes are told."""
+    """(a, b, d, tree): for each task, links that connect the nodes that met at its anchors (tree); many: besides, the nearest b of each a, and in d of tree links whether a and b have links that were left out (CROWDED_A, CROWDED_B). Of a link that is left out both nodes are told."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[tuple[int, int], int] = {}
@@ -335,7 +337,8 @@ def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
                 groups(now[0][:cut], now[1][:cut], [x[:cut].view(np.uint64) for x in now[2:]])
         if kept is not None:
             groups(kept[0], kept[1], [x.view(np.uint64) for x in kept[2:]])
-        out = choose() + [(x, x, 0, False) for x in crowds]
+        # Crowded nodes have candidates, so each is in a link of the forest: no row more.
+        out = [(x, y, d + CROWDED_A * (x in crowds) + CROWDED_B * (y in crowds) if tree else d, tree) for x, y, d, tree in choose()]
         for i in range(0, len(out), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], ["a", "b", "d", "tree"])
 
@@ -348,7 +351,7 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 def best_links(found: DataFrame) -> DataFrame:
     """Of links(): each node's nearest of all tasks, which is chosen from a short list: it has met others at some tens of anchors."""
-    nearest = found.filter("NOT tree AND a != b").groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, WIDE_LINKS).alias("n"))
+    nearest = found.filter("NOT tree").groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, WIDE_LINKS).alias("n"))
     return _pairs(nearest.select("a", F.explode("n.b").alias("b")))
 
 
@@ -412,10 +415,12 @@ def crowded_links(found: DataFrame, roots: DataFrame, docs: DataFrame, k: int, l
     Candidates that were left out lie within one component of the candidates, a family. Its crowded nodes are dealt to blocks:
     nodes of one root that fill blocks of their own never meet each other, all others do, a pair of blocks in a task at a time.
     """
-    crowds = found.filter("NOT tree AND a = b").select(F.col("a").alias("node")).distinct()
+    tree, told = found.filter("tree"), lambda bit: F.col("d").bitwiseAND(F.lit(bit)) != 0
+    crowds = tree.filter(told(CROWDED_A)).select(F.col("a").alias("node")).union(tree.filter(told(CROWDED_B)).select("b")).distinct()
     if crowds.isEmpty():
         return None
-    families = staged(connected_components(_pairs(found)), "families")
+    # Forests connect what all candidates connect.
+    families = staged(connected_components(_pairs(tree)), "families")
     near = lambda df: checked_broadcast(df, TWO_LONG_ROWS)
     of = crowds.join(near(families.select("node", F.col("root").alias("family"))), "node").join(near(roots), "node", "left").select("node", "family", F.coalesce("root", "node").alias("root"))
     of = staged(of, "crowds")
