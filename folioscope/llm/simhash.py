@@ -9,7 +9,7 @@ meets at an anchor. This is the covering radius plus threshold of the one-sided
 a block of 32 bits in place of 170.
 
 At an anchor all pairs are compared by popcount, but dense groups of near copies cost rows in proportion to their size: a
-task sends a shortest spanning forest of its links and, where they are confirmed later, the nearest of each member. Where a
+task sends a shortest spanning forest of its links and, where they are confirmed later, the links of members that have few. Where a
 similarity is asked for, fingerprints are of sets of shingles, more of their words are compared than have anchors, and each
 link that leaves is confirmed by the exact Jaccard similarity of both texts' sets. A link is only held back if both of its
 documents have more than WIDE_LINKS; such documents are crowded. Pages of one template are: nearly all of their links are
@@ -51,7 +51,7 @@ SET_AT_ONCE = 1 << 12
 SMALL = 32
 #: Rows of the distance matrix that is held at a time, by the anchor's members.
 MATRIX = 1 << 20
-#: A node's nearest links that are confirmed first; of the others, those that join two trees too, only what is still apart.
+#: Links of a node up to which a task sends them all, and of the nearest that are confirmed first; of the others only what is still apart.
 WIDE_LINKS = 6
 #: Links that a task holds before it chooses among them; what is left out is crowded.
 PENDING = 200_000
@@ -268,7 +268,7 @@ class Forest:
 
 
 def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
-    """(a, b, d, tree): for each task, links that connect the nodes that met at its anchors (tree); many: besides, the nearest b of each a, and in d of tree links whether a and b have links that were left out (CROWDED_A, CROWDED_B). Of a link that is left out both nodes are told."""
+    """(a, b, d, tree): for each task, links that connect the nodes that met at its anchors (tree); many: besides, all links of nodes that have WIDE_LINKS at most, and in d of tree links whether a and b have links that were left out (CROWDED_A, CROWDED_B). Of a link that is left out both nodes are told. A link is one row of its task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: dict[tuple[int, int], int] = {}
@@ -282,23 +282,19 @@ def links(sent: DataFrame, n: int, bits: int, many: bool) -> DataFrame:
                 choose()
 
         def choose() -> list[tuple[int, int, int, bool]]:
-            """Of the links so far, in order of distance, those that join two trees (b < a, True) and each node's nearest (False)."""
+            """Of the links so far, in order of distance, those that join two trees (b < a, True) and, if many, those of nodes that aren't crowded (False)."""
             nonlocal fewest
-            tree, few, chosen = Forest(), Counter(), []
+            tree, chosen, times = Forest(), [], Counter(chain.from_iterable(met)) if many else {}
+            full = crowds | {x for x, n in times.items() if n > WIDE_LINKS}
             for (x, y), d in sorted(met.items(), key=lambda m: (m[1], m[0])):
-                joins = tree.join(x, y)
-                if joins:
+                if joins := tree.join(x, y):
                     chosen.append((x, y, d, True))
-                left_out = many and not joins
-                for p, q in ((x, y), (y, x)) if many else ():
-                    if few[p] < WIDE_LINKS:
-                        few[p] += 1
-                        chosen.append((p, q, d, False))
-                        left_out = False
-                if left_out:
+                elif many and x in full and y in full:
                     crowds.update((x, y))
+                elif many:
+                    chosen.append((x, y, d, joins))
             met.clear()
-            met.update({(max(x, y), min(x, y)): d for x, y, d, _ in chosen})
+            met.update({(x, y): d for x, y, d, _ in chosen})
             fewest = len(met)
             return chosen
 
@@ -350,9 +346,10 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def best_links(found: DataFrame) -> DataFrame:
-    """Of links(): each node's nearest of all tasks, which is chosen from a short list: it has met others at some tens of anchors."""
-    nearest = found.filter("NOT tree").groupBy("a").agg(F.slice(F.sort_array(F.collect_set(F.struct("d", "b"))), 1, WIDE_LINKS).alias("n"))
-    return _pairs(nearest.select("a", F.explode("n.b").alias("b")))
+    """Of links(): each node's WIDE_LINKS nearest of all tasks. Those of a crowded node are links of forests: it has met others at some tens of anchors."""
+    near = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.col("d").bitwiseAND(F.lit(CROWDED_A - 1)).alias("d")).distinct()
+    both = near.union(near.select(F.col("b"), F.col("a"), "d"))
+    return _pairs(both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("rank") <= WIDE_LINKS))
 
 
 def shingles(text: bytes, k: int) -> np.ndarray:

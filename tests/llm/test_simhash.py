@@ -205,6 +205,30 @@ def test_links_within_a_family_of_a_template(spark, likeness):
     assert all(got[i] in (i, partner.get(i)) for i in range(len(texts)))  # and no other
 
 
+def test_a_crowded_family_sends_its_forest_only(spark):
+    """300 near copies in one task: a row for each but one, all told to be crowded; three nodes beside them keep all of their links."""
+    rng = np.random.default_rng(21)
+
+    def near(base, n):
+        flips = np.zeros((n, 512), np.uint8)
+        for row in flips:
+            row[rng.choice(512, 20, replace=False)] = 1
+        return base ^ np.packbits(flips, axis=1, bitorder="little").view("<u8")
+
+    prints = np.concatenate([near(rng.integers(0, 2**63, 8, dtype=np.uint64), n) for n in (300, 3)]).view(np.int64)
+    nodes = spark.createDataFrame([(i, *row) for i, row in enumerate(prints.tolist())], "node long, " + ", ".join(f"f{i} long" for i in range(8)))
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        rows = simhash.links(simhash.replicas(nodes, 8, 4, 2), 8, simhash.SET_BITS, True).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    family = [r for r in rows if max(r.a, r.b) < 300]
+    assert len(family) == 299 and all(r.tree for r in family)
+    told = {n for r in family for n, bit in ((r.a, simhash.CROWDED_A), (r.b, simhash.CROWDED_B)) if r.d & bit}
+    assert told == set(range(300))
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in rows if min(r.a, r.b) >= 300} == {(301, 300), (302, 300), (302, 301)} and len(rows) == 302
+
+
 def test_block_links_equal_brute_force(monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
