@@ -10,8 +10,9 @@ a block of 32 bits in place of 170.
 
 At an anchor all pairs are compared by popcount, but dense groups of near copies cost rows in proportion to their size: a
 task sends a shortest spanning forest of its links and, where they are confirmed later, the links of members that have few. Where a
-similarity is asked for, fingerprints are of sets of shingles, more of their words are compared than have anchors, and each
-link that leaves is confirmed by the exact Jaccard similarity of both texts' sets. A link is only held back if both of its
+similarity is asked for, fingerprints are of sets of shingles, all words of those that meet are compared, and each
+link that leaves is confirmed by the exact Jaccard similarity of both texts' sets. Such sets meet at bands of MinHash values and
+not at anchors: with blocks of 16 bits a sixth of all pairs of strangers met, so comparisons grew with the square of the corpus. A link is only held back if both of its
 documents have more than WIDE_LINKS; such documents are crowded. Pages of one template are: nearly all of their links are
 false. Those whose candidates are still apart meet once more, family by family in pairs of blocks, and the sizes of all
 intersections of two blocks' sets are one product of matrices; so no link between different texts is dropped unseen.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -40,8 +42,10 @@ from folioscope.llm.common import checked_broadcast, connected_components, own_p
 
 #: Shingle hashes whose bits are counted at once: 64 bytes each.
 BITS_AT_ONCE = 1 << 16
-#: Fingerprint words of a set of shingles: 512 bits tell 0.8 from 0.6, and those of the first ANCHORED words have anchors.
-WORDS, ANCHORED = 8, 2
+#: Fingerprint words of a set of shingles: 512 bits tell 0.8 from 0.6.
+WORDS = 8
+#: Bands that a set is sent to, each of ROWS of its minima: at a similarity of 0.8 all pairs but one of 2800 have a band in common.
+BANDS, ROWS = 20, 5
 #: Bits that differ at most between sets of a similarity of 0.8: 78 on average, with a deviation of 8. Most for small sets: 83 for
 #: 12 shingles, and 96 for 4 against 5, of which one in thirty is missed.
 SET_BITS = 112
@@ -103,7 +107,11 @@ def mixed_bits(x: np.ndarray, i: int) -> np.ndarray:
 
 def set_simhash(text: bytes | None, k: int, words: int) -> np.ndarray:
     """The set of shingles' fingerprint, in 64-bit words: a bit is 1 if it is set in over half of the values that are drawn from each hash; 0 for none."""
-    every = shingles(text or b"", k)
+    return set_print(shingles(text or b"", k), words)
+
+
+def set_print(every: np.ndarray, words: int) -> np.ndarray:
+    """set_simhash of the hashes of a set."""
     ones = np.zeros(64 * words, np.int64)
     for i in range(0, len(every), SET_AT_ONCE):
         part = every[i : i + SET_AT_ONCE]
@@ -114,17 +122,51 @@ def set_simhash(text: bytes | None, k: int, words: int) -> np.ndarray:
     return np.packbits(2 * ones > len(every), bitorder="little").view("<u8")
 
 
+@cache
+def _probes() -> tuple[np.ndarray, np.ndarray]:
+    """The first hash of each bin, and the bins in an order of each bin's own, from itself on."""
+    n = BANDS * ROWS
+    drawn = mixed_bits(np.arange(n * n, dtype=np.uint64), 0).reshape(n, n)
+    np.fill_diagonal(drawn, 0)
+    return np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n), np.argsort(drawn, axis=1, kind="stable")
+
+
+def band_keys(every: np.ndarray) -> np.ndarray:
+    """A key for each band of a set (hashes in order, each once): that of ROWS minima of one-permutation MinHash, an empty bin of which takes the first filled one's in an order of its own; none for an empty set."""
+    if not len(every):
+        return np.zeros(0, np.uint64)
+    starts, order = _probes()
+    at = np.searchsorted(every, starts)
+    filled = at < np.r_[at[1:], len(every)]
+    if not filled.all():
+        at = at[order[np.arange(len(order)), np.argmax(filled[order], axis=1)]]
+    minima = every[at].reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = mixed_bits(key ^ minima[:, i], i)
+    return key
+
+
 def fingerprints(docs: DataFrame, k: int, seeds: tuple[int, ...] | None, words: int = WORDS) -> DataFrame:
-    """doc_id, named and f0, f1, ... (long): fingerprints of every document's whole text, one a seed; without seeds, that many words of its set of shingles."""
+    """doc_id, named and f0, f1, ... (long): fingerprints of every document's whole text, one a seed; without seeds, that many words of its set of shingles, and the set's bands."""
     n = len(seeds) if seeds else words
+    kind = "doc_id long, named boolean, " + ", ".join(f"f{i} long" for i in range(n)) + ("" if seeds else ", bands array<long>")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(2).cast(pa.binary()).to_pylist()
-            prints = np.array([[simhash(t, k, s) for s in seeds] if seeds else set_simhash(t, k, words) for t in texts], np.uint64).reshape(-1, n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(prints[:, i]) for i in range(n))], ["doc_id", "named", *(f"f{i}" for i in range(n))])
+            own, bands = [], []
+            for t in texts:
+                if seeds:
+                    own.append([simhash(t, k, s) for s in seeds])
+                else:
+                    every = shingles(t or b"", k)
+                    own.append(set_print(every, words))
+                    bands.append(band_keys(every).view(np.int64))
+            prints = np.array(own, np.uint64).reshape(-1, n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(prints[:, i]) for i in range(n)), *([] if seeds else [pa.array(bands, pa.list_(pa.int64()))])], ["doc_id", "named", *(f"f{i}" for i in range(n)), *([] if seeds else ["bands"])])
 
-    return docs.select("doc_id", "named", "text").mapInArrow(of, "doc_id long, named boolean, " + ", ".join(f"f{i} long" for i in range(n)))
+    return docs.select("doc_id", "named", "text").mapInArrow(of, kind)
 
 
 def anchors_of(x: np.ndarray, width: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -346,7 +388,7 @@ def _pairs(found: DataFrame) -> DataFrame:
 
 
 def best_links(found: DataFrame) -> DataFrame:
-    """Of links(): each node's WIDE_LINKS nearest of all tasks. Those of a crowded node are links of forests: it has met others at some tens of anchors."""
+    """Of links(): each node's WIDE_LINKS nearest of all tasks. Those of a crowded node are links of forests: it has met others at several bands."""
     near = found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.col("d").bitwiseAND(F.lit(CROWDED_A - 1)).alias("d")).distinct()
     both = near.union(near.select(F.col("b"), F.col("a"), "d"))
     return _pairs(both.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).filter(F.col("rank") <= WIDE_LINKS))
@@ -385,11 +427,11 @@ def confirmed(edges: DataFrame, docs: DataFrame, k: int, least: float) -> DataFr
 def components(docs: DataFrame, k: int = 5, bits: int = SET_BITS, seeds: tuple[int, ...] = (42, 43), blocks: int = 4, least: float | None = 0.8) -> DataFrame:
     """doc_id, f0, f1, ..., component_id for every row of docs (doc_id, text).
 
-    Documents link if their sets of shingles have at least the Jaccard similarity `least`, which is confirmed for those whose
-    WORDS words differ in `bits` bits or fewer. Without `least` they link if their fingerprints of all `seeds`, which count
+    Documents link if their sets of shingles have at least the Jaccard similarity `least`, which is confirmed for those that have
+    a band in common and whose WORDS words differ in `bits` bits or fewer. Without `least` they link if their fingerprints of all `seeds`, which count
     repeats, differ in `bits` bits or fewer together. component_id is the smallest doc_id reachable.
-    Fingerprints that differ in fewer than 3 bits a block always meet at an anchor, and others if they differ in two bits at
-    most of some block: at a similarity of 0.8 with the default blocks all pairs but one of 600.
+    Fingerprints of seeds that differ in fewer than 3 bits a block always meet at an anchor, and others if they differ in two bits
+    at most of some block.
     """
     if 64 % blocks or 64 // blocks & (64 // blocks - 1) or 64 // blocks > 32 or least is None and 3 * blocks * len(seeds) <= bits:
         raise ValueError("blocks must be 2, 4, 8, ..., and without `least` 3 * blocks * len(seeds) > bits")
@@ -504,13 +546,15 @@ def block_links(rows: list[tuple], others: list[tuple] | None, least: float) ->
 
 def _components(own: DataFrame, k: int, bits: int, seeds: tuple[int, ...], blocks: int, least: float | None) -> DataFrame:
     """doc_id, named, f0, ..., component_id, any_named (a document of the component has a doc_id). own: as _named() gives."""
-    n, anchored = (len(seeds), len(seeds)) if least is None else (WORDS, ANCHORED)
+    n = len(seeds) if least is None else WORDS
+    bands = [] if least is None else ["bands"]
     names = [f"f{i}" for i in range(n)]
     prints = staged(fingerprints(own, k, seeds if least is None else None), "fingerprints")
     # A node without any doc_id has a stand-in, which is not a component's id if another node has one.
-    nodes = staged(prints.groupBy(*names).agg(F.min(F.struct(~F.col("named"), F.col("doc_id"))).alias("m")).select(*names, F.col("m.doc_id").alias("node"), (~F.col("m.col1")).alias("node_named")), "nodes")
+    nodes = staged(prints.groupBy(*names).agg(F.min(F.struct(~F.col("named"), "doc_id", *bands)).alias("m")).select(*names, F.col("m.doc_id").alias("node"), (~F.col("m.col1")).alias("node_named"), *(f"m.{b}" for b in bands)), "nodes")
     # Of different texts under one doc_id each may be a node; they are one.
-    found = links(replicas(nodes, n, blocks, anchored), n, bits, least is not None)
+    sent = replicas(nodes, n, blocks, n) if least is None else nodes.select(F.explode("bands").alias("anchor"), "node", *names)
+    found = links(sent, n, bits, least is not None)
     if least is None:
         roots = staged(connected_components(_pairs(found)), "roots")
     else:
@@ -534,7 +578,7 @@ def _components(own: DataFrame, k: int, bits: int, seeds: tuple[int, ...], block
     ids = of_node.groupBy("root").agg(F.min(F.struct(~F.col("node_named"), F.col("node"))).alias("m"), F.max("node_named").alias("any_named"))
     odd = staged(ids.filter("m.node != root OR NOT any_named").select("root", F.col("m.node").alias("least"), "any_named"), "unnamed")  # few or none
     of_print = of_node.join(checked_broadcast(odd, TWO_LONG_ROWS), "root", "left").select(*names, F.coalesce("least", "root").alias("component_id"), F.coalesce("any_named", F.lit(True)).alias("any_named"))
-    return prints.join(checked_broadcast(staged(of_print, "components"), 2 * TWO_LONG_ROWS // (n + 1)), names)
+    return prints.drop(*bands).join(checked_broadcast(staged(of_print, "components"), 2 * TWO_LONG_ROWS // (n + 1)), names)
 
 
 def deduplicated(docs: DataFrame, k: int = 5, bits: int = SET_BITS, seeds: tuple[int, ...] = (42, 43), blocks: int = 4, least: float | None = 0.8) -> DataFrame:

@@ -256,3 +256,29 @@ def test_all_longs_are_doc_ids(spark):
     rows = [(2**63 - 1, text), (2**62 + 7, text), (None, text), (-(2**63), "another text of five words"), (2**62, "one more text of words"), (None, "no name for this text"), (None, "no name for this text")]
     got = simhash.components(spark.createDataFrame(rows, "doc_id long, text string"), k=4, bits=4, seeds=(42,), blocks=2, least=None).collect()
     assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted([(2**63 - 1, 2**62 + 7), (2**62 + 7, 2**62 + 7), (None, 2**62 + 7), (-(2**63), -(2**63)), (2**62, 2**62), (None, None), (None, None)], key=str)
+
+
+def test_strangers_do_not_meet(spark, monkeypatch):
+    """Of 1500 unlike texts few meet, so that comparisons don't grow with the square of a corpus; a pair of near copies does."""
+    rng = random.Random(22)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 200))) for _ in range(1500)]
+    texts.append(texts[0] + " and one more")
+    sent, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda s, *rest: sent.append(s) or links(s, *rest))
+    got = {r.doc_id: r.component_id for r in simhash.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: i % 1500 for i in range(1501)}
+    assert sum(r["count"] * (r["count"] - 1) // 2 for r in sent[0].groupBy("anchor").count().collect()) < 100
+
+
+def test_alike_sets_have_a_band_in_common():
+    """Sets at 0.8, small and large; those of 0.2 seldom."""
+    rng = np.random.default_rng(23)
+
+    def meet(common, a, b):
+        x, y, z = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (common, a, b))
+        return bool((simhash.band_keys(np.unique(np.concatenate([x, y]))) == simhash.band_keys(np.unique(np.concatenate([x, z])))).any())
+
+    for sizes in ((4, 0, 1), (8, 1, 1), (12, 0, 3), (20, 2, 3), (80, 10, 10), (400, 0, 100), (3200, 400, 400)):
+        assert np.mean([meet(*sizes) for _ in range(400)]) >= 0.99
+    assert np.mean([meet(100, 200, 200) for _ in range(400)]) < 0.05
+    assert len(simhash.band_keys(np.zeros(0, np.uint64))) == 0 and len(set(simhash.band_keys(np.array([7], np.uint64)).tolist())) == simhash.BANDS
