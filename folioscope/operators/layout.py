@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.glyphs import text_width
+from folioscope.functions.glyphs import CAPITAL, DIGIT, OTHER, WIDTH_OF
 from folioscope.functions.text import SPACES, clean_report_text, let
 
 # Fixed values.
@@ -81,29 +87,79 @@ def needs_compaction(words: Column) -> Column:
     return F.coalesce(F.floor(x * GRID + 0.5) / GRID != x, F.lit(False))
 
 
+@cache
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point: whether it is one of SPACES, and its glyph's width in hundredths."""
+    space, width = np.zeros(0x110000, bool), np.full(0x110000, round(OTHER * 100), np.uint8)
+    for first, last in re.findall(r"\\x\{?([0-9A-F]+)\}?(?:-\\x\{?([0-9A-F]+)\}?)?", SPACES):
+        space[int(first, 16) : int(last or first, 16) + 1] = True
+    width[[c for c in range(0x20000) if unicodedata.category(chr(c)) == "Lu"]] = round(CAPITAL * 100)
+    width[ord("0") : ord("9") + 1] = round(DIGIT * 100)
+    width[list(map(ord, WIDTH_OF))] = [round(w * 100) for w in WIDTH_OF.values()]
+    return space, width
+
+
+def _cut(rows: DataFrame, text: str, kept: list[str], more, added: str) -> DataFrame:  # noqa: ANN001
+    """`kept`, token_index and token for each word of the column `text`, and the columns `added` that more() makes.
+
+    more(batch, codes, bounds, row, start, end): a batch's texts as one array of code points, where each begins, and each word's row and
+    places in that array. All of it is array arithmetic: a row's text is gone through once, however many words it has.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space, _ = _kinds()
+        for b in batches:
+            texts = pc.fill_null(b.column(b.schema.get_field_index(text)), "")
+            codes = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+            bounds = np.r_[0, np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)]
+            if not len(codes):
+                continue
+            word, edge = ~space[codes], np.zeros(len(codes) + 1, bool)
+            edge[bounds] = True
+            start = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
+            end = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
+            row = np.searchsorted(bounds, start, "right") - 1
+            index = np.arange(len(row)) - np.searchsorted(row, row)
+            size = (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).astype(np.int64)
+            ends = np.r_[0, np.cumsum(np.where(word, size, 0))]
+            letters = codes[word].tobytes().decode("utf-32-le").encode()
+            tokens = pa.StringArray.from_buffers(len(row), pa.py_buffer(np.r_[0, ends[end]].astype(np.int32)), pa.py_buffer(letters))
+            at = pa.array(row)
+            own = [b.column(b.schema.get_field_index(c)).take(at) for c in kept]
+            extra = more(b, codes, bounds, row, start, end)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(index.astype(np.int32)), tokens, *extra.values()], [*kept, "token_index", "token", *extra])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept).schema]
+    return rows.mapInArrow(cut, ", ".join([*kinds, "token_index int", "token string", added]))
+
+
 def run_words(runs: DataFrame) -> DataFrame:
     """Words of text runs (document_id, page_number, page_width, page_height, item_index, str, width, height, transform).
 
     A run's width is dealt to its words by their glyphs, turned by its angle, and projected to fractions of the page whose
     y grows downwards; words without an area go.
     """
-    pieces = runs.withColumn("__all", F.greatest(text_width(F.col("str")), F.lit(1e-12)))
-    pieces = pieces.select("*", F.posexplode(F.regexp_extract_all("str", F.lit(f"[{SPACES}]*[^{SPACES}]+"), F.lit(0))).alias("token_index", "piece"))
-    before = F.substring("str", F.lit(1), F.aggregate(F.slice(F.regexp_extract_all("str", F.lit(f"[{SPACES}]*[^{SPACES}]+"), F.lit(0)), F.lit(1), F.col("token_index")), F.lit(0), lambda a, x: a + F.length(x)) + F.length(F.regexp_extract("piece", f"^[{SPACES}]*", 0)))
-    text = F.regexp_replace("piece", f"^[{SPACES}]+", "")
     t = lambda i, d: F.coalesce(F.get(F.col("transform"), F.lit(i)), F.lit(d))
-    pieces = pieces.withColumns({"text": text, "__start": text_width(before) / F.col("__all")})
-    pieces = pieces.withColumn("__end", F.col("__start") + text_width(F.col("text")) / F.col("__all"))
     w = F.greatest(F.abs("width"), F.lit(1.0))
     h = F.greatest(F.abs("height"), F.hypot(t(2, 0.0), t(3, 0.0)), F.lit(1.0))
     angle = F.atan2(t(1, 0.0), t(0, 1.0))
     cos, sin = F.cos(angle), F.sin(angle)
-    corners = [(t(4, 0.0) + cos * w * F.col(e) - sin * h * k, t(5, 0.0) + sin * w * F.col(e) + cos * h * k) for e in ("__start", "__end") for k in (0, 1)]
+    sides = {"page_width": F.col("page_width"), "page_height": F.col("page_height"), "x0": t(4, 0.0), "y0": t(5, 0.0), "wx": cos * w, "wy": sin * w, "hx": sin * h, "hy": cos * h}
+    ids = ["document_id", "page_number", "item_index"]
+
+    def dealt(b, codes, bounds, row, start, end) -> dict[str, pa.Array]:  # noqa: ANN001
+        total = np.r_[0, np.cumsum(_kinds()[1][codes], dtype=np.int64)]
+        whole = np.maximum((total[bounds[row + 1]] - total[bounds[row]]) / 100, 1e-12)
+        left = (total[start] - total[bounds[row]]) / 100 / whole
+        return {"__start": pa.array(left), "__end": pa.array(left + (total[end] - total[start]) / 100 / whole)}
+
+    pieces = _cut(runs.select(*ids, "str", *(c.alias(k) for k, c in sides.items())), "str", [*ids, *sides], dealt, "__start double, __end double")
+    corners = [(F.col("x0") + F.col("wx") * F.col(e) - F.col("hx") * k, F.col("y0") + F.col("wy") * F.col(e) + F.col("hy") * k) for e in ("__start", "__end") for k in (0, 1)]
     clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
     left, right = F.least(*(x for x, _ in corners)), F.greatest(*(x for x, _ in corners))
     low, high = F.least(*(y for _, y in corners)), F.greatest(*(y for _, y in corners))
-    out = pieces.select("document_id", "page_number", "item_index", "token_index", "text", F.lit(100.0).alias("confidence"), clamp(left / F.col("page_width")).alias("x"), clamp(1 - high / F.col("page_height")).alias("y"), clamp((right - left) / F.col("page_width")).alias("word_width"), clamp((high - low) / F.col("page_height")).alias("word_height"))
-    return out.withColumnsRenamed({"word_width": "width", "word_height": "height"}).filter("width > 0 AND height > 0")
+    out = pieces.select(*ids, "token_index", F.col("token").alias("text"), F.lit(100.0).alias("confidence"), clamp(left / F.col("page_width")).alias("x"), clamp(1 - high / F.col("page_height")).alias("y"), clamp((right - left) / F.col("page_width")).alias("width"), clamp((high - low) / F.col("page_height")).alias("height"))
+    return out.filter("width > 0 AND height > 0")
 
 
 def line_words(lines: DataFrame) -> DataFrame:
@@ -112,18 +168,23 @@ def line_words(lines: DataFrame) -> DataFrame:
     A word ends halfway to its neighbours' centres; at a line's ends, half its own mean character further. Without an offset
     for each character they are spaced evenly.
     """
-    pattern = F.lit(f"[{SPACES}]*[^{SPACES}]+")
-    parts = F.regexp_extract_all("text", pattern, F.lit(0))
-    rows = lines.select("*", F.posexplode(parts).alias("token_index", "piece"))
-    token = F.regexp_replace("piece", f"^[{SPACES}]+", "")
-    first = F.aggregate(F.slice(parts, F.lit(1), F.col("token_index")), F.lit(0), lambda a, x: a + F.length(x)) + F.length("piece") - F.length(token)
-    rows = rows.withColumns({"token": token, "__first": first}).withColumn("__last", F.col("__first") + F.length("token") - 1)
-    at = lambda i: F.get(F.col("char_offsets"), i)
-    placed = F.coalesce(F.size("char_offsets") == F.length("text"), F.lit(False))
-    a, b, n = F.col("__first"), F.col("__last"), F.length("text")
-    half = F.greatest((at(b) - at(a)) / F.greatest(b - a, F.lit(1)), F.lit(0.0)) / 2
-    start = F.when(~placed, a / n).when(a > 0, (at(a - 1) + at(a)) / 2).otherwise(F.greatest(F.lit(0.0), at(a) - half))
-    end = F.when(~placed, (b + 1) / n).when(b + 1 < n, (at(b) + at(b + 1)) / 2).otherwise(F.least(F.lit(1.0), at(b) + half))
+    kept = ["document_id", "page_number", "line_index", "confidence", "x", "y", "width", "height"]
+
+    def centred(b, codes, bounds, row, start, end) -> dict[str, pa.Array]:  # noqa: ANN001
+        a, last, n = start - bounds[row], end - bounds[row] - 1, (bounds[1:] - bounds[:-1])[row]
+        centres = b.column(b.schema.get_field_index("char_offsets"))
+        missing = (pc.fill_null(pc.list_value_length(centres), -1).to_numpy(zero_copy_only=False) != bounds[1:] - bounds[:-1])[row]
+        first = centres.offsets.to_numpy()[row]
+        at = lambda i: centres.values.take(pa.array(first + np.clip(i, 0, n - 1), mask=missing))
+        ints = {k: pa.array(v) for k, v in (("__first", a), ("__last", last), ("__n", n))}
+        return ints | {"__placed": pa.array(~missing), "__before": at(a - 1), "__a": at(a), "__b": at(last), "__after": at(last + 1)}
+
+    added = "__first long, __last long, __n long, __placed boolean, __before double, __a double, __b double, __after double"
+    rows = _cut(lines.select(*kept, "text", F.col("char_offsets").cast("array<double>").alias("char_offsets")), "text", kept, centred, added)
+    a, b, n, placed, before, at_a, at_b, after = (F.col(c.split()[0]) for c in added.split(", "))
+    half = F.greatest((at_b - at_a) / F.greatest(b - a, F.lit(1)), F.lit(0.0)) / 2
+    start = F.when(~placed, a / n).when(a > 0, (before + at_a) / 2).otherwise(F.greatest(F.lit(0.0), at_a - half))
+    end = F.when(~placed, (b + 1) / n).when(b + 1 < n, (at_b + after) / 2).otherwise(F.least(F.lit(1.0), at_b + half))
     return rows.select("document_id", "page_number", "line_index", "token_index", F.col("token").alias("text"), "confidence", (F.col("x") + F.col("width") * start).alias("x"), "y", F.greatest(F.col("width") * (end - start), F.lit(0.0005)).alias("width"), "height")
 
 
@@ -132,16 +193,18 @@ def rows_of(boxes: Column) -> Column:
     centre = lambda b: b["y"] + b["height"] / 2
     keyed = F.transform(boxes, lambda b, i: F.struct(centre(b).alias("c"), i.alias("i"), b.alias("b")))
     ordered = F.transform(F.array_sort(keyed), lambda k: F.struct(k["c"].alias("c"), F.greatest(k["b"]["height"], F.lit(1e-6)).alias("h"), k["b"].alias("b")))
-    start = F.struct(F.array().cast("array<int>").alias("row"), F.lit(-1).alias("n"), F.lit(0.0).alias("c"), F.lit(0.0).alias("h"))
+    start = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("i"), F.lit(0.0).alias("c"), F.lit(0.0).alias("h"))
 
     def step(a: Column, k: Column) -> Column:
-        new = (a["n"] < 0) | (F.abs(k["c"] - a["c"]) > F.greatest(a["h"], k["h"]) / 2)
-        n = F.when(new, a["n"] + 1).otherwise(a["n"])
-        return F.struct(F.concat(a["row"], F.array(n)).alias("row"), n.alias("n"), F.when(new, k["c"]).otherwise(a["c"]).alias("c"), F.when(new, k["h"]).otherwise(a["h"]).alias("h"))
+        new = (a["i"] == 0) | (F.abs(k["c"] - a["c"]) > F.greatest(a["h"], k["h"]) / 2)
+        return F.struct(F.when(new, F.concat(a["cuts"], F.array(a["i"]))).otherwise(a["cuts"]).alias("cuts"), (a["i"] + 1).alias("i"), F.when(new, k["c"]).otherwise(a["c"]).alias("c"), F.when(new, k["h"]).otherwise(a["h"]).alias("h"))
+
+    # A row's boxes follow one another, so the places where rows begin tell them.
+    def rows(o: Column) -> Column:
+        cuts = F.aggregate(o, start, step, lambda a: a["cuts"])
+        return let(cuts, lambda c: F.transform(c, lambda s, r: F.transform(F.slice(o, s + 1, F.coalesce(F.get(c, r + 1), F.size(o)) - s), lambda z: z["b"])))
 
-    numbered = F.arrays_zip(F.aggregate(ordered, start, step, lambda a: a["row"]).alias("row"), ordered.alias("o"))
-    last = F.coalesce(F.array_max(F.transform(numbered, lambda z: z["row"])), F.lit(-1))
-    per_row = F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda r: F.transform(F.filter(numbered, lambda z: z["row"] == r), lambda z: z["o"]["b"]))
+    per_row = let(ordered, rows)
     return F.transform(per_row, by_x)
 
 
