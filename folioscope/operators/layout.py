@@ -116,10 +116,12 @@ def _cut(rows: DataFrame, text: str, kept: list[str], more, added: str) -> DataF
                 continue
             word, edge = ~space[codes], np.zeros(len(codes) + 1, bool)
             edge[bounds] = True
-            start = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
+            first = word & (edge[:-1] | ~np.r_[False, word[:-1]])
+            start = np.flatnonzero(first)
             end = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
-            row = np.searchsorted(bounds, start, "right") - 1
-            index = np.arange(len(row)) - np.searchsorted(row, row)
+            before = np.r_[0, np.cumsum(first)][bounds]
+            row = np.repeat(np.arange(len(texts)), np.diff(before))
+            index = np.arange(len(row)) - before[row]
             size = (1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)).astype(np.int64)
             ends = np.r_[0, np.cumsum(np.where(word, size, 0))]
             letters = codes[word].tobytes().decode("utf-32-le").encode()
@@ -146,18 +148,21 @@ def run_words(runs: DataFrame) -> DataFrame:
     cos, sin = F.cos(angle), F.sin(angle)
     sides = {"page_width": F.col("page_width"), "page_height": F.col("page_height"), "x0": t(4, 0.0), "y0": t(5, 0.0), "wx": cos * w, "wy": sin * w, "hx": sin * h, "hy": cos * h}
     ids = ["document_id", "page_number", "item_index"]
+    kept = [*ids, "page_width", "page_height"]
 
     def dealt(b, codes, bounds, row, start, end) -> dict[str, pa.Array]:  # noqa: ANN001
         total = np.r_[0, np.cumsum(_kinds()[1][codes], dtype=np.int64)]
         whole = np.maximum((total[bounds[row + 1]] - total[bounds[row]]) / 100, 1e-12)
-        left = (total[start] - total[bounds[row]]) / 100 / whole
-        return {"__start": pa.array(left), "__end": pa.array(left + (total[end] - total[start]) / 100 / whole)}
-
-    pieces = _cut(runs.select(*ids, "str", *(c.alias(k) for k, c in sides.items())), "str", [*ids, *sides], dealt, "__start double, __end double")
-    corners = [(F.col("x0") + F.col("wx") * F.col(e) - F.col("hx") * k, F.col("y0") + F.col("wy") * F.col(e) + F.col("hy") * k) for e in ("__start", "__end") for k in (0, 1)]
+        begin = (total[start] - total[bounds[row]]) / 100 / whole
+        stop = begin + (total[end] - total[start]) / 100 / whole
+        x0, y0, wx, wy, hx, hy = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False)[row] for c in ("x0", "y0", "wx", "wy", "hx", "hy"))
+        xs, ys = ([at + w * e + k * h for e in (begin, stop) for k in (0, 1)] for at, w, h in ((x0, wx, -hx), (y0, wy, hy)))
+        ends = {"__left": (np.minimum, xs), "__right": (np.maximum, xs), "__low": (np.minimum, ys), "__high": (np.maximum, ys)}
+        return {name: pa.array(of.reduce(values)) for name, (of, values) in ends.items()}
+
+    pieces = _cut(runs.select(*ids, "str", *(c.alias(k) for k, c in sides.items())), "str", kept, dealt, "__left double, __right double, __low double, __high double")
     clamp = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), v))
-    left, right = F.least(*(x for x, _ in corners)), F.greatest(*(x for x, _ in corners))
-    low, high = F.least(*(y for _, y in corners)), F.greatest(*(y for _, y in corners))
+    left, right, low, high = (F.col(f"__{c}") for c in ("left", "right", "low", "high"))
     out = pieces.select(*ids, "token_index", F.col("token").alias("text"), F.lit(100.0).alias("confidence"), clamp(left / F.col("page_width")).alias("x"), clamp(1 - high / F.col("page_height")).alias("y"), clamp((right - left) / F.col("page_width")).alias("width"), clamp((high - low) / F.col("page_height")).alias("height"))
     return out.filter("width > 0 AND height > 0")
 
